@@ -32,7 +32,7 @@ def norm(v):
 
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(norm(r[i]) for i in order) for r in rows), [cols[i] for i in order]
+    return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=str), [cols[i] for i in order]
 
 
 def compare(spark, con, name, fn, sql, sf_dir):

@@ -64,8 +64,8 @@ def round_rank(c: Column) -> Column:
 
 
 def is_knockout(c: Column) -> Column:
-    r = round_rank(c)
-    return r.between(50, 100) & (r != 85)
+    knockout = [(pattern, 50 <= rank <= 100 and rank != 85) for pattern, rank in ROUND_RULES]
+    return lk.first_match(F.lower(F.coalesce(c, F.lit(""))), knockout, False)
 
 
 def is_final_round(c: Column) -> Column:

@@ -115,11 +115,20 @@ def lookup(key: Column, table: dict, default=None) -> Column:
     return hit if default is None else F.coalesce(hit, F.lit(default))
 
 
+def bind(subject: Column, fn) -> Column:
+    """`fn(subject)` with the subject evaluated once, however often fn mentions it.
+
+    Without it a chain of conditions repeats the whole subject expression in every branch.
+    """
+    return F.get(F.transform(F.array(subject), fn), F.lit(0))
+
+
 def first_match(subject: Column, rules, default=None) -> Column:
     """Value of the first rule whose regular expression is found in `subject`."""
-    start = F.lit(default)
-    return reduce(
-        lambda rest, rule: F.when(subject.rlike(rule[0]), F.lit(rule[1])).otherwise(rest),
-        reversed(list(rules)),
-        start,
-    )
+
+    def chain(s: Column) -> Column:
+        return reduce(
+            lambda rest, rule: F.when(s.rlike(rule[0]), F.lit(rule[1])).otherwise(rest), reversed(list(rules)), F.lit(default)
+        )
+
+    return bind(subject, chain)

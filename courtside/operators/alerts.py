@@ -221,5 +221,5 @@ def owns_alerts(snapshots: DataFrame, now: Column, me: str, busy_minutes: int =
     other = F.coalesce(F.col("s.producer") != me, F.lit(False))
     age = minutes_between(now, F.col("s.snapshot_at"))
     return last.select(
-        ~(other & (age < busy_minutes)).alias("owns_alerts"), (other & (age < standby_minutes)).alias("standby")
+        (~(other & (age < busy_minutes))).alias("owns_alerts"), (other & (age < standby_minutes)).alias("standby")
     )

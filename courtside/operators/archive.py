@@ -143,23 +143,20 @@ def bracket_edges(m: DataFrame, project: bool = False) -> DataFrame:
         F.max_by("id", "ordinal").alias("child_id")
     )
     fed = teams.where("round_ix > 0").join(feeders, ["group", "round_ix", "team"], "left")
-    hits = fed.where("child_id is not null").groupBy("group", "round_ix", F.col("id").alias("parent_id"), "child_id").agg(
+    # one edge per feeding match; a bye keeps the team it stands for
+    bye = F.when(F.col("child_id").isNull(), F.col("team"))
+    edges = fed.groupBy("group", "round_ix", F.col("id").alias("parent_id"), "child_id", bye.alias("_bye")).agg(
         F.min("team").alias("team")
-    ).withColumn("kind", F.lit("match"))
-    byes = fed.where("child_id is null").select(
-        "group", "round_ix", F.col("id").alias("parent_id"), F.lit(None).cast(ix.schema["id"].dataType).alias("child_id"),
-        "team", F.lit("bye").alias("kind"),
-    )
-    out = hits.unionByName(byes)
+    ).withColumn("kind", F.when(F.col("child_id").isNull(), "bye").otherwise("match")).drop("_bye")
     if project:
-        out = out.unionByName(open_slots(ix, hits))
-    return out.select("group", "parent_id", "child_id", "kind", "team", "round_ix")
+        edges = edges.unionByName(open_slots(ix, edges))
+    return edges.select("group", "parent_id", "child_id", "kind", "team", "round_ix")
 
 
-def open_slots(ix: DataFrame, hits: DataFrame) -> DataFrame:
+def open_slots(ix: DataFrame, edges: DataFrame) -> DataFrame:
     """Stubs of the next round for matches that feed nothing yet."""
     open_ = ix.where(F.col("round_ix") < F.col("rounds") - 1).join(
-        hits.select("group", F.col("child_id").alias("id")).distinct(), ["group", "id"], "left_anti"
+        edges.where("kind = 'match'").select("group", F.col("child_id").alias("id")), ["group", "id"], "left_anti"
     )
     none = F.lit(None)
     return open_.select(

@@ -239,7 +239,9 @@ def day_groups(m: DataFrame) -> DataFrame:
     """One row per tournament and play day with its heading."""
     from pyspark.sql import Window
 
-    g = by_day(m).groupBy("key", "day_key", "day_sort", "day_label").agg(F.count("*").alias("matches"))
+    g = by_day(m).groupBy("key", "day_key").agg(
+        F.count("*").alias("matches"), F.min("day_sort").alias("day_sort"), F.min_by("day_label", "ordinal").alias("day_label")
+    )
     place = F.row_number().over(Window.partitionBy("key").orderBy("day_sort"))
     number = F.coalesce(F.col("day_sort.n"), place)
     head = F.when(F.col("day_key") == "tbc", "Date TBC").otherwise(

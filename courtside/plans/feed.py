@@ -14,14 +14,16 @@ d = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
 long = lambda c: F.col(c).cast("long").alias(c)
 
 # --- merge ---------------------------------------------------------------------------------
-# two deliveries: every match from its source, and every second one again with another status
+# two deliveries: every match, then every match again with another status, half of them under a new id
 cte("fx_two_feeds", """
 SELECT id, status, coalesce(start_time, '') AS st, 0 AS source_rank, ordinal FROM fx_feed
-UNION ALL SELECT id, 'final', coalesce(start_time, ''), 1, ordinal FROM fx_feed WHERE k % 2 = 0""", FEED)
+UNION ALL SELECT CASE WHEN k % 2 = 0 THEN '' ELSE 'again:' END || id, 'final', coalesce(start_time, ''), 1, ordinal FROM fx_feed""", FEED)
 
 
 def two_feeds(fx):
-    again = fx.feed.where("ordinal % 2 = 0").withColumn("status", F.lit("final"))
+    again = fx.feed.withColumn("status", F.lit("final")).withColumn(
+        "id", F.concat(F.when(F.col("ordinal") % 2 == 0, "").otherwise("again:"), F.col("id"))
+    )
     return f.union_feeds([fx.feed, again])
 
 
@@ -139,10 +141,9 @@ def day_strip(fx):
 
 
 @query("followed_open", """
-SELECT id, status FROM fx_feed WHERE status <> 'final' AND ck % 7 = 0 ORDER BY CASE status WHEN 'live' THEN 0 ELSE 1 END, ordinal LIMIT 40""", FEED)
+SELECT id, status FROM fx_feed WHERE status <> 'final' ORDER BY CASE status WHEN 'live' THEN 0 ELSE 1 END, ordinal LIMIT 40""", FEED)
 def followed_open(fx):
-    mine = fx.feed.where(F.col("tournament.id").cast("long") % 7 == 0)
-    return fl.followed_open(mine).select("id", "status").limit(40)
+    return fl.followed_open(fx.feed).select("id", "status").limit(40)
 
 
 # --- overview -----------------------------------------------------------------------------------------
@@ -256,11 +257,11 @@ def draw_layout(fx):
 
 @query("by_day_layout", """
 SELECT key, day_key, 'Day ' || CASE WHEN day_key LIKE 'd%' THEN substr(day_key, 2) ELSE CAST(rn AS VARCHAR) END || ' · ' || label AS heading, matches FROM (
-  SELECT key, day_key, label, count(*) AS matches, row_number() OVER (PARTITION BY key ORDER BY kind, n, x, label) AS rn FROM (
-    SELECT source || ':' || tid AS key, CASE WHEN day_n IS NOT NULL THEN 0 ELSE 1 END AS kind, day_n AS n, CAST(substr(start_time, 1, 10) AS DATE) AS x,
+  SELECT key, day_key, arg_min(label, ordinal) AS label, count(*) AS matches, row_number() OVER (PARTITION BY key ORDER BY kind, n, x) AS rn FROM (
+    SELECT ordinal, source || ':' || tid AS key, CASE WHEN day_n IS NOT NULL THEN 0 ELSE 1 END AS kind, day_n AS n, CAST(substr(start_time, 1, 10) AS DATE) AS x,
       CASE WHEN day_n IS NOT NULL THEN 'd' || day_n ELSE substr(start_time, 1, 10) END AS day_key,
       CASE WHEN day_n IS NOT NULL THEN upper(strftime(d, '%b %d %a')) ELSE strftime(CAST(substr(start_time, 1, 10) AS DATE), '%a %-d %b') END AS label
-    FROM fx_feed WHERE day_n IS NOT NULL OR start_time IS NOT NULL) GROUP BY key, day_key, label, kind, n, x)""", FEED)
+    FROM fx_feed WHERE day_n IS NOT NULL OR start_time IS NOT NULL) GROUP BY key, day_key, kind, n, x)""", FEED)
 def by_day_layout(fx):
     return f.day_groups(fx.feed.where("day is not null or start_time is not null")).select("key", "day_key", "heading", "matches")
 
@@ -269,12 +270,12 @@ def by_day_layout(fx):
 SELECT source, tid AS id, CASE WHEN a.key IS NOT NULL THEN 'archive' ELSE 'live' END AS origin, coalesce(a.name, l.tname) AS name,
   coalesce(a.federation, l.federation) AS federation FROM (
   SELECT source, tid, arg_min(tname, ordinal) AS tname, arg_min(federation, ordinal) AS federation FROM fx_feed GROUP BY 1, 2) l
-LEFT JOIN (SELECT replace(key, 'rin-', 'fip-') AS key, 'Archive ' || name AS name, federation FROM fx_archive_index WHERE ordinal % 2 = 0) a ON a.key = source || '-' || tid""",
+LEFT JOIN (SELECT replace(key, 'rin-', CASE WHEN ordinal % 2 = 0 THEN 'fip-' ELSE 'old-' END) AS key, 'Archive ' || name AS name, federation FROM fx_archive_index) a ON a.key = source || '-' || tid""",
        ("fx_feed", "fx_archive_index"))
 def find_tournament(fx):
     none = F.lit(None).cast("string")
-    arch = fx.archive_index.where("ordinal % 2 = 0").select(
-        F.replace("key", F.lit("rin-"), F.lit("fip-")).alias("key"), F.concat(F.lit("Archive "), F.col("name")).alias("name"), "federation",
+    arch = fx.archive_index.select(
+        F.replace("key", F.lit("rin-"), F.when(F.col("ordinal") % 2 == 0, "fip-").otherwise("old-")).alias("key"), F.concat(F.lit("Archive "), F.col("name")).alias("name"), "federation",
         "start", "end", *[none.alias(c) for c in ("venue", "address", "organizer", "organizer_url")],
     )
     keys = fx.feed.select("source", F.col("tournament.id").alias("id")).distinct()

@@ -230,7 +230,7 @@ class Fixtures:
     def final_rows(self) -> DataFrame:
         k = F.col("p_partkey")
         year = (2000 + k % 10).cast("int")
-        return self.table("part").where(k % 2 == 0).select(
+        return self.table("part").select(
             k.alias("row_id"), k.alias("ordinal"), year.alias("year"), F.when(k % 8 == 0, "").otherwise(F.upper("p_brand")).alias("city"),
             F.concat(F.upper("p_name"), F.lit(" Open")).alias("name"),
             F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.col("p_size") + (F.col("p_size") % 5)).alias("final_date"),
@@ -413,7 +413,7 @@ cte("fx_final_rows", """
 SELECT p_partkey AS row_id, CAST(2000 + p_partkey % 10 AS INT) AS year,
   CASE WHEN p_partkey % 8 = 0 THEN '' ELSE p_brand END AS city, p_name AS name,
   make_date(CAST(2000 + p_partkey % 10 AS INT), 1, 1) + p_size + p_size % 5 AS final_date
-FROM part WHERE p_partkey % 2 = 0""")
+FROM part""")
 cte("fx_archive_index", f"""
 SELECT 'rin-' || c_custkey AS key, c_mktsegment || ' ' || [{_WORDS}][c_custkey % 8 + 1] || ' ' || c_custkey AS name,
   [{_WORDS}][c_custkey % 8 + 1] AS word,
