@@ -50,8 +50,10 @@ def name_key(fx):
 
 
 @query("token_overlap", """
-WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+'), x -> length(x) > 2 AND x NOT IN ('the', 'of'))) AS t FROM benchmark)
-SELECT a.item_id AS a, round(CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / least(len(a.t), len(b.t)), 6) AS ov FROM w a JOIN w b ON b.item_id = a.item_id + 1""")
+WITH w AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+')) AS t FROM benchmark) WHERE length(t) > 2 AND t NOT IN ('the', 'of')),
+n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1),
+shared AS (SELECT a.item_id AS a, count(*) AS c FROM w a JOIN w b ON b.item_id = a.item_id + 1 AND a.t = b.t GROUP BY 1)
+SELECT x.item_id AS a, round(CAST(coalesce(c, 0) AS DOUBLE) / least(x.n, y.n), 6) AS ov FROM n x JOIN n y ON y.item_id = x.item_id + 1 LEFT JOIN shared s ON s.a = x.item_id""")
 def token_overlap(fx):
     b = fx.table("benchmark")
     t = lambda n: tx.tokens(F.col(n), 3, ("the", "of"))
