@@ -6,12 +6,13 @@ derive the same rows and every row count grows with the input.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from courtside.plans.registry import cte
 from courtside.schema import MATCH_COLUMNS
+from courtside.session import cut
 
 TODAY = "1998-06-15"
 EVENT_WORDS = ("Major", "P1", "P2", "Gold", "Silver", "Bronze", "Liga", "Open")
@@ -261,26 +262,24 @@ class Fixtures:
             F.concat(F.lit("/wpt/2015/marzo/c"), ck.cast("string"), F.lit("/")).alias("path"),
             F.when(ck % 2 == 0, "Men").otherwise("Women").alias("gender"), ck.alias("ck"),
         )
-        i = lambda x: F.lit(x).cast("int")
-        cell = lambda r, c, lines, name: F.struct(
-            i(r).alias("r"), i(c).alias("c"), lines.alias("lines"), F.lit(name).alias("is_name")
-        )
-        pair = lambda p: F.array(
-            F.concat(F.lit("Ana P"), ck_pair(p)), F.concat(F.lit("Bea Q"), ck_pair(p)), F.lit("(esp-arg)")
-        )
-        ck_pair = lambda p: F.concat(F.col("ck").cast("string"), F.lit("x"), p.cast("string"))
-        first = lambda j: F.lit(2 * j) + (F.col("ck") + j) % 2              # quarterfinal winners
-        second = lambda j: F.when((F.col("ck") + j) % 3 == 0, first(2 * j)).otherwise(first(2 * j + 1))
-        text = lambda j: F.array(F.concat(F.lit("6/4 6/"), ((F.col("ck") + j) % 5).cast("string")))
-        cells = [cell(0, 0, F.array(F.lit("Cuartos")), False), cell(0, 1, F.array(F.lit("Semifinales")), False),
-                 cell(0, 2, F.array(F.lit("Final")), False)]
-        cells += [cell(1 + 2 * p, 0, pair(F.lit(p)), True) for p in range(8)]
-        cells += [cell(2 + 4 * j, 1, pair(first(j)), True) for j in range(4)]
-        cells += [cell(3 + 4 * j, 1, text(j), False) for j in range(4)]
-        cells += [cell(4 + 8 * j, 2, pair(second(j)), True) for j in range(2)]
-        cells += [cell(5 + 8 * j, 2, text(j + 4), False) for j in range(2)]
-        rows = base.select("path", "gender", F.explode(F.array(*cells)).alias("x")).select("path", "gender", "x.*")
-        return rows.withColumn("text", F.concat_ws(" ", "lines"))
+        ck, j = F.col("ck"), F.col("j")
+
+        def part(n: int, r: Column, c: int, lines: Column, is_name: bool) -> DataFrame:
+            each = base.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            return each.select(
+                "path", "gender", r.cast("int").alias("r"), F.lit(c).alias("c"), lines.alias("lines"), F.lit(is_name).alias("is_name")
+            )
+
+        score = lambda shift: F.array(F.concat(F.lit("6/4 6/"), ((ck + j + shift) % 5).cast("string")))
+        heads = [part(1, F.lit(0), c, F.array(F.lit(t)), False) for c, t in enumerate(("Cuartos", "Semifinales", "Final"))]
+        parts = [
+            part(8, 1 + 2 * j, 0, draw_lines(ck, j), True), part(4, 2 + 4 * j, 1, draw_lines(ck, first_winner(ck, j)), True),
+            part(4, 3 + 4 * j, 1, score(0), False), part(2, 4 + 8 * j, 2, draw_lines(ck, second_winner(ck, j)), True),
+            part(2, 5 + 8 * j, 2, score(4), False),
+        ]
+        rows = reduce(DataFrame.unionByName, heads + parts)
+        # read several times by every consumer, so derived once and stored
+        return cut(rows.withColumn("text", F.concat_ws(" ", "lines")))
 
     @cached_property
     def draw_pages(self) -> DataFrame:
@@ -304,6 +303,24 @@ class Fixtures:
         return full.select("path", "gender", page.alias("html"))
 
 
+def first_winner(ck: Column, j: Column) -> Column:
+    """Pair that wins first-round match j of a customer's draw."""
+    return 2 * j + (ck + j) % 2
+
+
+def second_winner(ck: Column, j: Column) -> Column:
+    return F.when((ck + j) % 3 == 0, first_winner(ck, 2 * j)).otherwise(first_winner(ck, 2 * j + 1))
+
+
+def draw_pair(ck: Column, p: Column) -> Column:
+    tag = F.concat(ck.cast("string"), F.lit("x"), p.cast("int").cast("string"))
+    return F.array(F.concat(F.lit("Ana P"), tag), F.concat(F.lit("Bea Q"), tag))
+
+
+def draw_lines(ck: Column, p: Column) -> Column:
+    return F.concat(draw_pair(ck, p), F.array(F.lit("(esp-arg)")))
+
+
 def score_text(k: Column) -> Column:
     s = lambda x: x.cast("string")
     even = F.concat(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from courtside.functions.scores import parse_sets
 from courtside.operators import filters as fl, linkage as ln, normalise as nm, schedule as sch
-from courtside.plans.fixtures import pick
+from courtside.plans.fixtures import draw_pair, first_winner, pick, second_winner
 from courtside.plans.registry import cte, query
+from courtside.session import cut
 from courtside.sources.pages import draw_cells
 
 d = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
@@ -347,14 +348,13 @@ def draw_results(fx):
 
 
 def gate_inputs(fx):
-    rounds = ln.draw_results(ln.classify_cells(fx.draw_cells)).withColumn("ordinal", F.col("c") * 100 + F.col("match_no"))
+    rounds = cut(ln.draw_results(ln.classify_cells(fx.draw_cells)).withColumn("ordinal", F.col("c") * 100 + F.col("match_no")))
     ck = F.col("c_custkey")
     base = fx.table("customer").select(F.concat(F.lit("/wpt/2015/marzo/c"), s(ck), F.lit("/")).alias("path"), F.concat(F.lit("t-"), s(ck)).alias("key"))
-    semis = rounds.where("round = 'Semifinal'")
-    w = semis.groupBy("path", "gender").agg(F.min_by("winners", "match_no").alias("fw"), F.max_by("winners", "match_no").alias("fr"))
-    odd = F.regexp_extract("path", r"c(\d+)/", 1).cast("long") % 3 == 0
-    finals = w.join(base, "path").select(
-        "key", "gender", F.col("fw").alias("winners"), F.when(odd, F.array(F.lit("Zoe Wrong"), F.lit("Eva Wrong"))).otherwise(F.reverse("fr")).alias("runners_up")
+    winner = lambda j: draw_pair(ck, second_winner(ck, F.lit(j)))
+    finals = fx.table("customer").select(
+        F.concat(F.lit("t-"), s(ck)).alias("key"), F.when(ck % 2 == 0, "Men").otherwise("Women").alias("gender"), winner(0).alias("winners"),
+        F.when(ck % 3 == 0, F.array(F.lit("Zoe Wrong"), F.lit("Eva Wrong"))).otherwise(F.reverse(winner(1))).alias("runners_up"),
     )
     return rounds, base, finals
 
@@ -375,10 +375,14 @@ def accuracy_rate(fx):
 SELECT 't-' || ck AS key, gender, round, 'Ana P' || ck || 'x' || w AS first_winner FROM fx_draw_results WHERE ck % 3 <> 0 AND NOT (ck % 5 = 0 AND round = 'Semifinal')""", ("fx_draw_results",))
 def new_rounds(fx):
     rounds, pairs, finals = gate_inputs(fx)
-    number = F.regexp_extract("key", r"t-(\d+)", 1).cast("long") % 5
     # every draw's rounds came in twice; a fifth of the semifinals is known from another source already
-    known = rounds.join(pairs, "path").where("round = 'Semifinal'").select(
-        "key", "gender", "round", F.reverse("winners").alias("winners"), "losers", F.when(number == 0, "news").otherwise("draws").alias("source")
+    ck = F.col("c_custkey")
+    known = fx.table("customer").select(ck, F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    won = second_winner(ck, F.col("j"))
+    lost = first_winner(ck, 2 * F.col("j")) + first_winner(ck, 2 * F.col("j") + 1) - won
+    known = known.select(
+        F.concat(F.lit("t-"), s(ck)).alias("key"), F.when(ck % 2 == 0, "Men").otherwise("Women").alias("gender"), F.lit("Semifinal").alias("round"),
+        F.reverse(draw_pair(ck, won)).alias("winners"), draw_pair(ck, lost).alias("losers"), F.when(ck % 5 == 0, "news").otherwise("draws").alias("source"),
     )
     out = ln.new_rounds(rounds.unionByName(rounds), pairs, ln.accuracy_gate(rounds, pairs, finals), known)
     return out.select("key", "gender", "round", F.col("winners")[0].alias("first_winner"))
