@@ -1 +1,139 @@
+"""Streaming forms run over the given event table; results equal the batch forms."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from courtside.plans.alerts import LIVE_TRANSITIONS, SCORE_CHANGES
+from courtside.plans.registry import query
+from courtside.streaming import streams as st
+
+day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def work(fx) -> str:
+    """A new folder below the shared one the cluster names, else a local one (tests)."""
+    shared = fx.spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        import uuid
+
+        return f"{shared.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="courtside-stream-")
+
+
+def stream_of(fx, df, name: str):
+    """Read the files of a derived table as a stream."""
+    path = os.path.join(work(fx), name)
+    df.write.parquet(path)
+    return fx.spark.readStream.schema(df.schema).parquet(path)
+
+
+def events_stream(fx):
+    e = fx.table("events")
+    # a file stream reads a folder; the filter picks the one table out of it
+    return fx.spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(fx.dir)
+
+
+@query("stream_live_transitions", LIVE_TRANSITIONS, ("fx_snapshots",))
+def stream_live(fx):
+    root = work(fx)
+    snaps = fx.snapshots.select("snapshot_at", "id", "status", "est_start_at", "ordinal")
+    st.live_transitions_stream(stream_of(fx, snaps, "snapshots"), f"{root}/state", f"{root}/out", f"{root}/ck").awaitTermination()
+    return fx.spark.read.parquet(f"{root}/out").select(day("snapshot_at"), "id")
+
+
+@query("stream_soon_transitions", None)
+def stream_soon(fx):
+    root = work(fx)
+    snaps = fx.snapshots.select("snapshot_at", "id", "status", "est_start_at", "ordinal")
+    st.soon_transitions_stream(stream_of(fx, snaps, "snapshots"), f"{root}/state", f"{root}/out", f"{root}/ck").awaitTermination()
+    return fx.spark.read.parquet(f"{root}/out").select(day("snapshot_at"), "id")
+
+
+@query("stream_score_changes", SCORE_CHANGES)
+def stream_scores(fx):
+    root = work(fx)
+    e = events_stream(fx).where("event_type <> 'error'")
+    status = F.when(F.col("event_type") == "click", "live").when(F.col("event_type") == "purchase", "final").otherwise("upcoming")
+    polls = e.select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("ordinal"),
+        F.concat((F.floor("value") % 3).cast("string"), F.lit("|"), status).alias("signature"),
+    )
+    q = st.score_changes_stream(polls).writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return fx.spark.read.parquet(f"{root}/out").select("id", "ordinal")
+
+
+@query("stream_upserts", """
+SELECT user_id AS key, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'""")
+def stream_upserts(fx):
+    root = work(fx)
+    changes = events_stream(fx).select(
+        F.col("user_id").alias("key"), "event_id", F.col("ts").alias("updated_at"), "value", (F.col("event_type") == "error").alias("deleted")
+    )
+    st.upsert_stream(changes, f"{root}/subs", f"{root}/ck", ["key"], ["updated_at", "event_id"], 8).awaitTermination()
+    return st.current_rows(fx.spark, f"{root}/subs").select("key", "value", stamp("updated_at"))
+
+
+@query("stream_ingest", """
+WITH s AS (SELECT 's' || (user_id % 5) AS source, date_trunc('day', ts) AS d, bool_and(event_type <> 'error' OR user_id % 2 = 0) AS ok FROM events GROUP BY ALL),
+g AS (SELECT source, max(d) AS d FROM s WHERE ok GROUP BY 1)
+SELECT DISTINCT 's' || (user_id % 5) || ':' || user_id AS id FROM events JOIN g ON g.source = 's' || (user_id % 5) AND g.d = date_trunc('day', ts)""")
+def stream_ingest(fx):
+    root = work(fx)
+    d = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    e = fx.table("events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("source"), d.alias("snapshot_at"), "user_id", F.col("event_id").alias("ordinal"),
+        ((F.col("event_type") != "error") | (F.col("user_id") % 2 == 0)).alias("row_ok"),
+    )
+    verdict = e.groupBy("source", "snapshot_at").agg(F.bool_and("row_ok").alias("ok"))
+    rows = e.join(verdict, ["source", "snapshot_at"]).select(
+        "source", "snapshot_at", "ok", F.concat_ws(":", "source", F.col("user_id").cast("string")).alias("id"), "ordinal", F.lit(0).alias("source_rank")
+    )
+    st.ingest_stream(stream_of(fx, rows, "deliveries"), f"{root}/feed", f"{root}/ck").awaitTermination()
+    return st.merged_feed(fx.spark, f"{root}/feed").select("id")
+
+
+@query("stream_source_health", """
+SELECT source, arg_max(ok, ordinal) AS ok, strftime(max(CASE WHEN ok THEN snapshot_at END), '%Y-%m-%d %H:%M:%S') AS last_ok_at FROM fx_source_status GROUP BY 1""", ("fx_source_status",))
+def stream_health(fx):
+    root = work(fx)
+    e = events_stream(fx).select(
+        (F.col("user_id") % 5).alias("source"), F.col("ts").alias("snapshot_at"), F.col("event_id").alias("ordinal"),
+        (F.col("event_type") != "error").alias("ok"), F.floor("value").cast("int").alias("match_count"),
+        F.when(F.col("event_type") == "error", "timeout").alias("error"),
+    )
+    st.health_stream(e, f"{root}/health", f"{root}/ck").awaitTermination()
+    return fx.spark.read.parquet(f"{root}/health").select("source", "ok", stamp("last_ok_at"))
+
+
+@query("stream_baselines", """
+WITH w AS (SELECT strftime(snapshot_at, '%G-W%V') AS week, min(snapshot_at) AS a, max(snapshot_at) AS b FROM fx_ranking_rows GROUP BY 1)
+SELECT strftime(r.snapshot_at, '%Y-%m-%d') AS snapshot_at, r.fed, r.category, r.rank, r.name FROM fx_ranking_rows r
+JOIN w ON strftime(r.snapshot_at, '%G-W%V') = w.week WHERE r.snapshot_at IN (w.a, w.b)""", ("fx_ranking_rows",))
+def stream_baselines(fx):
+    root = work(fx)
+    rows = fx.ranking_rows.select("snapshot_at", "fed", "category", "rank", "id", "name", "ordinal")
+    st.baseline_stream(stream_of(fx, rows, "lists"), f"{root}/base", f"{root}/ck").awaitTermination()
+    return fx.spark.read.parquet(f"{root}/base").select(day("snapshot_at"), "fed", "category", F.col("rank").cast("long").alias("rank"), "name")
+
+
+@query("stream_deduplicated_alerts", """
+SELECT DISTINCT user_id AS id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour FROM events WHERE event_type = 'click'""")
+def stream_dedup(fx):
+    root = work(fx)
+    e = events_stream(fx).where("event_type = 'click'").select(
+        F.col("user_id").alias("id"), F.date_trunc("hour", "ts").alias("snapshot_at")
+    )
+    q = st.deduplicate_alerts(e).writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return fx.spark.read.parquet(f"{root}/out").select("id", F.date_format("snapshot_at", "yyyy-MM-dd HH").alias("hour"))
+
 
