@@ -7,6 +7,8 @@ either side are scored once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from courtside.functions import lookups as lk
@@ -146,12 +148,19 @@ def link_finals(rows: DataFrame, t: DataFrame, at_least: float = lk.FINAL_LINK_M
     city_part = F.when((F.col("rc") != "") & (F.col("tc") != "") & (has("rc", "tc") | has("tc", "rc")), 3.0).otherwise(0.0)
     prof = ["year", "rc", "rt", "rd"]
 
-    # a common word; a pair with several is taken at its first one only
+    # a common word: names repeat, so word sets are compared once per distinct pair of sets,
+    # at the first word they share, and only the numbers go on to the rows
+    text = lambda c: F.concat_ws(" ", c).alias(f"{c}k")
+    rs = rp.select("year", "rt", text("rt")).distinct().withColumn("w", F.explode("rt"))
+    ts = tp.select("year", "tt", text("tt")).distinct().withColumn("w", F.explode("tt"))
+    sets = rs.join(ts, ["year", "w"]).where(F.array_min(F.array_intersect("rt", "tt")) == F.col("w")).select(
+        "year", "rtk", "ttk", (3 * overlap(F.col("rt"), F.col("tt"))).alias("words")
+    )
+    spots_t = tp.select("year", text("tt"), "tc", "start", "key", "ordinal")
     words = (
-        rp.withColumn("w", F.explode("rt")).join(tp.withColumn("w", F.explode("tt")), ["year", "w"])
-        .where(F.array_min(F.array_intersect("rt", "tt")) == F.col("w"))
-        .withColumn("score", city_part + 3 * overlap(F.col("rt"), F.col("tt")) + F.coalesce(date_part, F.lit(0.0)))
-        .select(*prof, "key", "ordinal", "score")
+        rp.select(*prof, text("rt")).join(sets, ["year", "rtk"]).join(spots_t, ["year", "ttk"])
+        .withColumn("score", city_part + F.col("words") + F.coalesce(date_part, F.lit(0.0)))
+        .where(F.col("score") >= at_least).select(*prof, "key", "ordinal", "score")
     )
     # a common city: here only the start day matters, so one tournament per city and day will do
     rc = rp.select("year", "rc").where("rc <> ''").distinct()
@@ -300,24 +309,25 @@ def score_draws(draws: DataFrame, t: DataFrame, at_least: float = lk.DRAW_LINK_M
     cities = inside.select("year", F.col("needle").alias("dc"), F.col("hay").alias("tc")).unionByName(
         around.select("year", F.col("hay").alias("dc"), F.col("needle").alias("tc"))
     ).distinct()
-    ids_d, ids_t = d.select("year", "path", "dc", "dt", "dw"), tt.select("year", "key", "tc", "tt", "tn")
-    pairs = [
-        ids_d.join(cities, ["year", "dc"]).join(ids_t, ["year", "tc"]),
-        ids_d.where("dc <> ''").withColumn("p5", F.substring("dc", 1, 5)).join(
-            ids_t.where("tc <> ''").withColumn("p5", F.substring("tc", 1, 5)), ["year", "p5"]),
-        ids_d.withColumn("w", F.explode("dt")).join(ids_t.withColumn("w", F.explode("tt")), ["year", "w"]).where(
-            F.array_min(F.array_intersect("dt", "tt")) == F.col("w")),
-        ids_d.join(
-            contains_pairs(
-                d.where("length(dw) > 3").select("year", F.col("dw").alias("needle")), tt.select("year", F.col("tn").alias("hay")), y
-            ).select("year", F.col("needle").alias("dw"), F.col("hay").alias("tn")), ["year", "dw"]
-        ).join(ids_t, ["year", "tn"]),
+    in_city = F.contains("tc", F.col("dc")) | F.contains(F.col("dc"), F.col("tc"))
+    near_city = (F.col("dc") != "") & (F.col("tc") != "") & (in_city | (F.substring("tc", 1, 5) == F.substring("dc", 1, 5)))
+    shares_word = F.arrays_overlap("dt", "tt")
+    words = contains_pairs(
+        d.where("length(dw) > 3").select("year", F.col("dw").alias("needle")), tt.select("year", F.col("tn").alias("hay")), y
+    ).select("year", F.col("needle").alias("dw"), F.col("hay").alias("tn"))
+    # every pair comes from the first kind of evidence it has, so no pair is listed twice and
+    # the score is computed where the pair is found
+    found = [
+        d.join(cities, ["year", "dc"]).join(tt, ["year", "tc"]),
+        dcity.withColumn("p5", F.substring("dc", 1, 5)).join(tcity.withColumn("p5", F.substring("tc", 1, 5)), ["year", "p5"]).where(~in_city),
+        d.withColumn("w", F.explode("dt")).join(tt.withColumn("w", F.explode("tt")), ["year", "w"]).where(
+            (F.array_min(F.array_intersect("dt", "tt")) == F.col("w")) & ~near_city
+        ),
+        d.join(words, ["year", "dw"]).join(tt, ["year", "tn"]).where(~near_city & ~shares_word),
     ]
-    found = pairs[0].select("path", "key")
-    for p in pairs[1:]:
-        found = found.unionByName(p.select("path", "key"))
-    scored = found.distinct().join(d, "path").join(tt.drop("year"), "key").withColumn("score", _draw_score())
-    return scored.where(F.col("score") >= at_least).select("path", "key", "d_ord", "t_ord", "score")
+    score = _draw_score()
+    edges = [f.select("path", "key", "d_ord", "t_ord", score.alias("score")).where(F.col("score") >= at_least) for f in found]
+    return reduce(DataFrame.unionByName, edges)
 
 
 def month_edges(draws: DataFrame, t: DataFrame, weak: DataFrame) -> DataFrame:

@@ -82,19 +82,18 @@ def stream_upserts(fx):
 
 
 @query("stream_ingest", """
-WITH s AS (SELECT 's' || (user_id % 5) AS source, date_trunc('day', ts) AS d, bool_and(event_type <> 'error' OR user_id % 2 = 0) AS ok FROM events GROUP BY ALL),
-g AS (SELECT source, max(d) AS d FROM s WHERE ok GROUP BY 1)
+WITH s AS (SELECT DISTINCT 's' || (user_id % 5) AS source, date_trunc('day', ts) AS d FROM events WHERE (day(ts) + user_id % 5) % 3 <> 0),
+g AS (SELECT source, max(d) AS d FROM s GROUP BY 1)
 SELECT DISTINCT 's' || (user_id % 5) || ':' || user_id AS id FROM events JOIN g ON g.source = 's' || (user_id % 5) AND g.d = date_trunc('day', ts)""")
 def stream_ingest(fx):
     root = work(fx)
     d = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    e = fx.table("events").select(
-        F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("source"), d.alias("snapshot_at"), "user_id", F.col("event_id").alias("ordinal"),
-        ((F.col("event_type") != "error") | (F.col("user_id") % 2 == 0)).alias("row_ok"),
-    )
-    verdict = e.groupBy("source", "snapshot_at").agg(F.bool_and("row_ok").alias("ok"))
-    rows = e.join(verdict, ["source", "snapshot_at"]).select(
-        "source", "snapshot_at", "ok", F.concat_ws(":", "source", F.col("user_id").cast("string")).alias("id"), "ordinal", F.lit(0).alias("source_rank")
+    # one delivery per source and day; every third one failed
+    rows = fx.table("events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("source"), d.alias("snapshot_at"),
+        ((F.dayofmonth("ts") + F.col("user_id") % 5) % 3 != 0).alias("ok"),
+        F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string"), F.lit(":"), F.col("user_id").cast("string")).alias("id"),
+        F.col("event_id").alias("ordinal"), F.lit(0).alias("source_rank"),
     )
     st.ingest_stream(stream_of(fx, rows, "deliveries"), f"{root}/feed", f"{root}/ck").awaitTermination()
     return st.merged_feed(fx.spark, f"{root}/feed").select("id")
