@@ -8,8 +8,6 @@ all rows is thereby spread over as many tasks as it has slices.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 AGGS = {
@@ -27,11 +25,10 @@ def ordinal_slice(ordinal: Column, width: int = 100_000) -> Column:
     return F.floor(ordinal / width)
 
 
-def _with_carry(df: DataFrame, keys: list[str], slice_: str, totals: DataFrame, names: list[str]) -> DataFrame:
-    """Join each row with the totals carried into its slice (null-safe on keys)."""
-    t = totals.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, slice_]], *names)
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, slice_]])
-    return df.join(t, on, "left").drop(*[f"_k_{k}" for k in [*keys, slice_]])
+def sliced(df: DataFrame, keys: list[str], slice_: Column) -> DataFrame:
+    """Adds _key and _slice. The key is one struct, so that null parts compare equal and the
+    join with the carries keeps the partitioning the windows need."""
+    return df.withColumn("_key", F.struct(*keys)).withColumn("_slice", slice_)
 
 
 def running(
@@ -40,26 +37,26 @@ def running(
 ) -> DataFrame:
     """Running sum / max / min per key in `order`: specs = {output: (kind, value)}.
 
-    With inclusive=False a row sees only the rows before it.
+    With inclusive=False a row sees only the rows before it. The rows are shuffled once.
     """
-    src = df.withColumn("_slice", slice_)
+    src = sliced(df, keys, slice_)
     for name, (_, value) in specs.items():
         src = src.withColumn(f"_v_{name}", value)
-    totals = src.groupBy(*keys, "_slice").agg(
+    totals = src.groupBy("_key", "_slice").agg(
         *[AGGS[kind][0](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in specs.items()]
     )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *keys, "_slice",
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carries = totals.select(
+        "_key", "_slice",
         *[AGGS[kind][0](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in specs.items()],
     )
-    joined = _with_carry(src, keys, "_slice", totals, [f"_c_{n}" for n in specs])
+    joined = src.join(carries, ["_key", "_slice"])
     end = Window.currentRow if inclusive else -1
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     for name, (kind, _) in specs.items():
         agg, merge = AGGS[kind]
         joined = joined.withColumn(name, merge(agg(f"_v_{name}").over(inside), F.col(f"_c_{name}")))
-    return joined.drop("_slice", *[f"_v_{n}" for n in specs], *[f"_c_{n}" for n in specs])
+    return joined.drop("_key", "_slice", *[f"_v_{n}" for n in specs], *[f"_c_{n}" for n in specs])
 
 
 def last_known(
@@ -67,16 +64,16 @@ def last_known(
     inclusive: bool = True,
 ) -> DataFrame:
     """Latest non-null `value` per key at (or, if not inclusive, before) each row."""
-    src = df.withColumn("_slice", slice_).withColumn("_v", value)
-    at = F.struct(*order)
-    totals = src.groupBy(*keys, "_slice").agg(F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, "_v"))).alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_slice", F.last("_t._v", ignorenulls=True).over(before).alias("_c"))
-    joined = _with_carry(src, keys, "_slice", totals, ["_c"])
+    src = sliced(df, keys, slice_).withColumn("_v", value)
+    # every slice of the key needs a row here, also one without a value of its own
+    slots = src.groupBy("_key", "_slice").agg(F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, "_v"))).alias("_t"))
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carries = slots.select("_key", "_slice", F.last("_t._v", ignorenulls=True).over(before).alias("_c"))
+    joined = src.join(carries, ["_key", "_slice"])
     end = Window.currentRow if inclusive else -1
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     seen = F.last("_v", ignorenulls=True).over(inside)
-    return joined.withColumn(out, F.coalesce(seen, F.col("_c"))).drop("_slice", "_v", "_c")
+    return joined.withColumn(out, F.coalesce(seen, F.col("_c"))).drop("_key", "_slice", "_v", "_c")
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column | str], k: int, rank: str = "rn") -> DataFrame:

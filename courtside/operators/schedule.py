@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from courtside.functions import lookups as lk
 from courtside.functions.dates import clock_minutes, format_minutes
-from courtside.operators.ordered import first_rows, last_known, ordinal_slice, running
+from courtside.operators.ordered import first_rows, last_known, ordinal_slice, running, sliced
 
 
 def estimate_starts(rows: DataFrame, width: int = 100_000) -> DataFrame:
@@ -18,9 +18,10 @@ def estimate_starts(rows: DataFrame, width: int = 100_000) -> DataFrame:
     One match turns the running clock r into max(r + a, b), or into a constant when a live
     match re-anchors the chain. Such steps compose, so after the last re-anchor
         r = S + max(r0, max over earlier steps of (b − S at that step)),  S = sum of a,
-    i.e. a running sum and a running maximum instead of a sequential loop.
+    i.e. running sums and maxima instead of a sequential loop. A court is cut into slices of
+    ordinals: each slice is reduced to its own step, the steps of the slices are chained, and
+    each row starts from the clock at which its slice begins. The rows are shuffled once.
     """
-    keys = ["tournament", "day", "court"]
     now = F.col("now_min").cast("double")
     dur = F.nullif(F.col("dur"), F.lit(0)).cast("double")
     step = lk.MATCH_MINUTES + lk.CHANGEOVER_MINUTES
@@ -28,35 +29,47 @@ def estimate_starts(rows: DataFrame, width: int = 100_000) -> DataFrame:
     at = clock_minutes(F.col("schedule")).cast("double")
     floor = F.greatest(now, F.when(F.col("schedule").rlike("(?i)not before|starting at"), at))
     final, live = F.col("status") == lk.FINAL, F.col("status") == lk.LIVE
-    src = rows.withColumn("court", F.coalesce("court", F.lit("?"))).withColumn(
-        "_anchor", F.when(live & now.isNotNull(), now + remaining + lk.CHANGEOVER_MINUTES)
-    ).withColumn(
-        "_a", F.when(F.col("_anchor").isNotNull(), 0.0)
-        .when(final, F.coalesce(dur, F.lit(float(lk.MATCH_MINUTES))) + lk.CHANGEOVER_MINUTES)
-        .when(live, remaining + lk.CHANGEOVER_MINUTES).otherwise(float(step))
-    ).withColumn("_b", F.when(~final & ~live, floor + step))
-    first = src.groupBy(*keys).agg(
-        F.min_by(
-            F.coalesce(
-                clock_minutes(F.col("court_start")).cast("double"), at, now, F.lit(float(lk.DEFAULT_SESSION))
-            ), "ordinal",
-        ).alias("_r0")
+    session = F.coalesce(clock_minutes(F.col("court_start")).cast("double"), at, now, F.lit(float(lk.DEFAULT_SESSION)))
+    src = rows.withColumn("court", F.coalesce("court", F.lit("?"))).select(
+        "*", floor.alias("_floor"), session.alias("_r0"),
+        F.when(live & now.isNotNull(), now + remaining + lk.CHANGEOVER_MINUTES).alias("_anchor"),
+        F.when(final, F.coalesce(dur, F.lit(float(lk.MATCH_MINUTES))) + lk.CHANGEOVER_MINUTES)
+        .when(live, F.when(now.isNotNull(), 0.0).otherwise(remaining + lk.CHANGEOVER_MINUTES)).otherwise(float(step)).alias("_a"),
+        F.when(~final & ~live, floor + step).alias("_b"),
     )
-    src = src.join(first, keys)
-    cut = ordinal_slice(F.col("ordinal"), width)
-    # which re-anchor each row stands after, and the clock it left
-    src = running(src, keys, ["ordinal"], cut, {"_leg": ("sum", F.col("_anchor").isNotNull().cast("int"))})
-    src = last_known(src, keys, ["ordinal"], cut, F.col("_anchor"), "_from")
-    leg = [*keys, "_leg"]
-    src = running(src, leg, ["ordinal"], cut, {"_s": ("sum", F.col("_a"))})
-    src = running(
-        src, leg, ["ordinal"], cut, {"_m": ("max", F.col("_b") - F.col("_s"))}, inclusive=False
+    src = sliced(src, ["tournament", "day", "court"], ordinal_slice(F.col("ordinal"), width))
+
+    # inside a slice: legs between re-anchors, the sum S of each leg and the best b − S so far
+    part = Window.partitionBy("_key", "_slice").orderBy("ordinal")
+    src = src.withColumn("_leg", F.count("_anchor").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    leg = Window.partitionBy("_key", "_slice", "_leg").orderBy("ordinal")
+    src = src.withColumn("_s", F.sum("_a").over(leg.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    src = src.withColumn("_m", F.max(F.col("_b") - F.col("_s")).over(leg.rowsBetween(Window.unboundedPreceding, -1)))
+    src = src.withColumn("_from", F.max("_anchor").over(Window.partitionBy("_key", "_slice", "_leg")))
+
+    # one step per slice: a constant exit if it re-anchors, else (a, b)
+    end = F.max_by(F.struct("_leg", "_s", "_from", F.greatest("_m", F.col("_b") - F.col("_s")).alias("m")), "ordinal")
+    steps = src.groupBy("_key", "_slice").agg(end.alias("e"), F.min_by("_r0", "ordinal").alias("_r0")).select(
+        "_key", "_slice", "_r0", F.when(F.col("e._leg") > 0, F.col("e._s") + F.greatest("e._from", "e.m")).alias("k"),
+        F.col("e._s").alias("a"), (F.col("e._s") + F.col("e.m")).alias("b"),
+    )
+    chain = Window.partitionBy("_key").orderBy("_slice")
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(
+        "*", F.count("k").over(back(chain)).alias("g"), F.last("k", ignorenulls=True).over(back(chain)).alias("base"),
+        F.first("_r0").over(chain).alias("first_r0"),
+    )
+    run = Window.partitionBy("_key", "g").orderBy("_slice")
+    steps = steps.withColumn("sa", F.sum("a").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    best = F.max(F.col("b") - F.col("sa")).over(back(run))
+    steps = steps.select(
+        "_key", "_slice", (F.col("sa") - F.col("a") + F.greatest(F.coalesce("base", "first_r0"), best)).alias("_entry")
     )
-    start = F.coalesce("_from", "_r0")
-    clock = F.col("_s") - F.col("_a") + F.greatest(start, F.col("_m"))   # before this match
-    est = F.when(~final & ~live, F.greatest(clock, floor))
-    return src.withColumn("est_min", est).withColumn("est_start", format_minutes(F.col("est_min"))).drop(
-        "_anchor", "_a", "_b", "_r0", "_leg", "_from", "_s", "_m"
+    out = src.join(steps, ["_key", "_slice"])
+    clock = F.col("_s") - F.col("_a") + F.greatest(F.coalesce("_from", "_entry"), F.col("_m"))   # before this match
+    est = F.when(~final & ~live, F.greatest(clock, F.col("_floor")))
+    return out.withColumn("est_min", est).withColumn("est_start", format_minutes(F.col("est_min"))).drop(
+        "_key", "_slice", "_floor", "_r0", "_anchor", "_a", "_b", "_leg", "_s", "_m", "_from", "_entry"
     )
 
 
