@@ -285,14 +285,14 @@ def _draw_sides(draws: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d, tt
 
 
-def _draw_score() -> Column:
+def _draw_score(words: Column) -> Column:
     has = lambda a, b: F.contains(F.col(a), F.col(b))
     city = F.when((F.col("dc") != "") & (F.col("tc") != ""), F.when(has("tc", "dc") | has("dc", "tc"), 3.0).when(
         F.substring("tc", 1, 5) == F.substring("dc", 1, 5), 2.5).otherwise(0.0)).otherwise(0.0)
     word = F.when((F.length("dw") > 3) & has("tn", "dw"), 3.0).otherwise(0.0)
     d = month_distance(F.col("month"), F.col("t_month"))
     month = F.when(d.isNull(), 0.0).when(d == 0, 3.0).when(d == 1, 1.0).otherwise(-3.0)
-    return city + 3 * overlap(F.col("dt"), F.col("tt")) + word + month
+    return city + words + word + month
 
 
 def score_draws(draws: DataFrame, t: DataFrame, at_least: float = lk.DRAW_LINK_MIN) -> DataFrame:
@@ -312,6 +312,13 @@ def score_draws(draws: DataFrame, t: DataFrame, at_least: float = lk.DRAW_LINK_M
     in_city = F.contains("tc", F.col("dc")) | F.contains(F.col("dc"), F.col("tc"))
     near_city = (F.col("dc") != "") & (F.col("tc") != "") & (in_city | (F.substring("tc", 1, 5) == F.substring("dc", 1, 5)))
     shares_word = F.arrays_overlap("dt", "tt")
+    # names repeat: word sets are compared once per distinct pair, at the first word they share
+    text = lambda c: F.concat_ws(" ", c).alias(f"{c}k")
+    ds = d.select("year", "dt", text("dt")).distinct().withColumn("w", F.explode("dt"))
+    ts = tt.select("year", "tt", text("tt")).distinct().withColumn("w", F.explode("tt"))
+    sets = ds.join(ts, ["year", "w"]).where(F.array_min(F.array_intersect("dt", "tt")) == F.col("w")).select(
+        "year", "dtk", "ttk", (3 * overlap(F.col("dt"), F.col("tt"))).alias("words")
+    )
     words = contains_pairs(
         d.where("length(dw) > 3").select("year", F.col("dw").alias("needle")), tt.select("year", F.col("tn").alias("hay")), y
     ).select("year", F.col("needle").alias("dw"), F.col("hay").alias("tn"))
@@ -320,13 +327,14 @@ def score_draws(draws: DataFrame, t: DataFrame, at_least: float = lk.DRAW_LINK_M
     found = [
         d.join(cities, ["year", "dc"]).join(tt, ["year", "tc"]),
         dcity.withColumn("p5", F.substring("dc", 1, 5)).join(tcity.withColumn("p5", F.substring("tc", 1, 5)), ["year", "p5"]).where(~in_city),
-        d.withColumn("w", F.explode("dt")).join(tt.withColumn("w", F.explode("tt")), ["year", "w"]).where(
-            (F.array_min(F.array_intersect("dt", "tt")) == F.col("w")) & ~near_city
-        ),
+        d.select("*", text("dt")).join(sets, ["year", "dtk"]).join(tt.select("*", text("tt")), ["year", "ttk"]).where(~near_city),
         d.join(words, ["year", "dw"]).join(tt, ["year", "tn"]).where(~near_city & ~shares_word),
     ]
-    score = _draw_score()
-    edges = [f.select("path", "key", "d_ord", "t_ord", score.alias("score")).where(F.col("score") >= at_least) for f in found]
+    shared = 3 * overlap(F.col("dt"), F.col("tt"))
+    score = [_draw_score(shared), _draw_score(shared), _draw_score(F.col("words")), _draw_score(F.lit(0.0))]
+    edges = [
+        f.select("path", "key", "d_ord", "t_ord", c.alias("score")).where(F.col("score") >= at_least) for f, c in zip(found, score)
+    ]
     return reduce(DataFrame.unionByName, edges)
 
 
@@ -535,11 +543,11 @@ def discover_articles(t: DataFrame, articles: DataFrame, before: int = 8, after:
         "key", "city", F.explode(F.sequence(F.date_add("start", -before), F.date_add("start", after))).alias("date")
     )
     cities = days.select("date", "city", F.pmod(F.xxhash64("city"), F.lit(buckets)).alias("bucket")).distinct()
-    lists = cities.groupBy("date", "bucket").agg(F.collect_list("city").alias("cities"))
+    lists = cities.groupBy("date", "bucket").agg(F.collect_list(F.struct("city", fold(F.col("city")).alias("k"))).alias("cities"))
     reports = articles.withColumn(
         "hay", fold(F.concat_ws(" ", "title", "text"))
     ).where(is_round_report(F.col("title"), F.col("text"), F.lit("")))
     hits = reports.join(lists, "date").select(
-        "article_id", "date", F.explode(F.filter("cities", lambda c: F.contains(F.col("hay"), fold(c)))).alias("city")
-    )
+        "article_id", "date", F.explode(F.filter("cities", lambda c: F.contains(F.col("hay"), c["k"]))).alias("c")
+    ).select("article_id", "date", "c.city")
     return hits.join(days, ["date", "city"]).select("key", "article_id").distinct()
