@@ -119,3 +119,48 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components have not settled")
     return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+
+
+def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive values, by prefix and suffix minima of blocks of w."""
+    n = len(v) - w + 1
+    if n <= 0:
+        return v[:0]
+    pad = np.full(-len(v) % w, np.iinfo(v.dtype).max, v.dtype)
+    block = np.concatenate([v, pad]).reshape(-1, w)
+    before = np.minimum.accumulate(block, axis=1).ravel()
+    after = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(after[:n], before[w - 1 : w - 1 + n])
+
+
+def least_gram(grams: np.ndarray, w: int) -> np.ndarray:
+    """Where the least of each w consecutive gram hashes stands (the first of equals): the same place in equal windows."""
+    key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    return (sliding_min(key, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int, int]:
+    """(doc_id, body, chunk) dealt by chunk, the number of chunks, and the bytes of all texts. Later steps reuse this exchange."""
+    rows = narrow(docs)
+    total = int(rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
+    n = max(1, -(-total // chunk_bytes))
+    chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("body")), F.lit(n)).cast("int")
+    return rows.withColumn("chunk", chunk).repartition(n, "chunk"), n, total
+
+
+def of_chunk(t: pa.Table) -> tuple[list, list]:
+    """Ids and bodies of one chunk's rows, by id and text; a null id comes last."""
+    rows = sorted(zip(t.column("doc_id").to_pylist(), t.column("body").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
+    return [r[0] for r in rows], [r[1] or b"" for r in rows]
+
+
+def power_of_two(n: int) -> int:
+    return 1 << max(0, (n - 1).bit_length())
+
+
+def to_shards(order_key: np.ndarray, shards: int) -> np.ndarray:
+    """Cut positions of ascending 64-bit keys into `shards` (a power of two) equal parts of the key space."""
+    if shards == 1:
+        return np.array([0, len(order_key)])
+    at = np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - (shards.bit_length() - 1))
+    return np.r_[0, np.searchsorted(order_key, at), len(order_key)]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import decontamination, line_dedup, near_dedup, packing, quality
-from courtside.llm.common import held_out, table
+from courtside.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
+from courtside.llm.common import held_out, shared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,41 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories, in its order, and the verdict."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    out = toxicity.predict(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", "p_low_quality", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 5, 0)
+    out = language_id.predict(docs, language_id.train(docs, ~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints, and for ids divisible by 100 the number of documents within 3 bits (themselves included)."""
+    out = shared(fingerprints.with_next(table(spark, sf_dir, "documents")), "fingerprinted")
+    asked = out.where("doc_id % 100 = 0").select("fingerprint")
+    count = out.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    found = fingerprints.near(count, asked, radius=3).join(count, F.col("match") == F.col("fingerprint")).groupBy("query").agg(F.sum("n").alias("near_documents"))
+    joined = out.join(found, (F.col("fingerprint") == F.col("query")) & (F.col("doc_id") % 100 == 0), "left")
+    return joined.select(*out.columns, "near_documents")
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -44,6 +79,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+@query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
