@@ -29,7 +29,7 @@ class WordTokens:
     Texts with other white space beside white space are encoded whole. Special tokens in a text count as such.
     """
 
-    def __init__(self, name: str, most: int = 400_000):
+    def __init__(self, name: str, most: int = 200_000):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer

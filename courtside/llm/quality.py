@@ -21,7 +21,7 @@ class _Tokens(dict):
     """word -> (hash of its lower-case form, hash of its form with letters folded to one sign); bounded."""
 
     def __missing__(self, w: bytes) -> tuple[int, int]:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         shape = _LETTERS.sub(b"a", w)[:16] if len(w) < 40 else b"long"
         v = self[w] = (xxhash.xxh64_intdigest(w.lower(), 1), xxhash.xxh64_intdigest(shape, 2))
