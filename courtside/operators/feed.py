@@ -72,10 +72,10 @@ def tally_both(m: DataFrame) -> DataFrame:
 
 
 def source_status(deliveries: DataFrame) -> DataFrame:
-    """Per source of a refresh: contributed matches, ok, error text up to 200 characters."""
+    """Per source of a refresh: contributed matches, ok, error text."""
     return deliveries.groupBy("source").agg(
         F.count("id").alias("count"), F.bool_and("ok").alias("ok"),
-        F.substring(F.max(F.when(~F.col("ok"), F.col("error"))), 1, 200).alias("error"),
+        F.max(F.when(~F.col("ok"), F.col("error"))).alias("error"),
     )
 
 

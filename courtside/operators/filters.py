@@ -19,12 +19,12 @@ def overlaps_window(events: DataFrame, lo: Column, hi: Column) -> DataFrame:
 
 
 def calendar_events(
-    events: DataFrame, day: Column, back: int = 3, forward: int = 3, first: int | None = 40,
+    events: DataFrame, day: Column, back: int = 3, forward: int = 3, first: int | None = None,
     central: tuple[str, ...] = lk.CENTRAL_FEDERATIONS,
 ) -> DataFrame:
     """Events around a day outside the centrally hosted countries, in feed order.
 
-    `first` is the report's length; None lists them all.
+    `first` cuts the list to a report's length.
     """
     hit = events.where(overlaps(F.col("start"), F.col("end"), F.date_add(day, -back), F.date_add(day, forward)))
     hit = hit.where(
@@ -110,8 +110,8 @@ def ranking_filter(rows: DataFrame, q: str = "", country: str | None = None) ->
     return rows.where(F.col("country") == country) if country else rows
 
 
-def play_days(days: DataFrame, day: Column, back: int = 4, forward: int = 7, first: int = 12) -> DataFrame:
-    """Distinct play days of eight-digit codes around `day`, the first twelve per event."""
+def play_days(days: DataFrame, day: Column, back: int = 4, forward: int = 7, first: int | None = None) -> DataFrame:
+    """Distinct play days of eight-digit codes around `day`, in order per event; `first` keeps that many."""
     ok = days.where(F.col("code").rlike(r"^\d{8}$")).select(
         "event_id", F.try_to_date("code", "yyyyMMdd").alias("play_day")
     )

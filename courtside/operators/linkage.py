@@ -362,18 +362,16 @@ def month_edges(draws: DataFrame, t: DataFrame, weak: DataFrame) -> DataFrame:
     )
 
 
-def assign_one_to_one(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def assign_one_to_one(edges: DataFrame) -> DataFrame:
     """Greedy best-first assignment, each end used once: path, key, score.
 
     Order: score descending, then draw, then tournament. An edge that is best for both of
     its ends is certain to be taken, so every round takes all of those at once and drops
-    the ends they use. Only two counts reach the driver per round.
+    the ends they use, until no edge is left; the best edge of all is always taken, so it ends.
     """
     left = cut(edges.select("path", "key", "d_ord", "t_ord", "score"))
     taken = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         pref = F.struct("score", -F.col("d_ord"), -F.col("t_ord"))
         by_path = left.groupBy("path").agg(F.max_by("key", pref).alias("key"))
         by_key = left.groupBy("key").agg(F.max_by("path", pref).alias("path"))

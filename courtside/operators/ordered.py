@@ -76,10 +76,11 @@ def last_known(
     return joined.withColumn(out, F.coalesce(seen, F.col("_c"))).drop("_key", "_slice", "_v", "_c")
 
 
-def first_rows(df: DataFrame, by: list[str], order: list[Column | str], k: int, rank: str = "rn") -> DataFrame:
-    """First k rows per group. Spark cuts each task to k rows per group before the shuffle."""
+def first_rows(df: DataFrame, by: list[str], order: list[Column | str], k: int | None, rank: str = "rn") -> DataFrame:
+    """First k rows per group, ranked; all of them if k is None. Spark cuts each task to k rows per group before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
 def best_row(df: DataFrame, by: list[str], score: list[Column]) -> DataFrame:

@@ -47,8 +47,11 @@ def live_transitions(fx):
     return a.live_transitions(fx.snapshots).select(day("snapshot_at"), "id")
 
 
-@query("soon_transitions", _TRANS.format(
-    steps=_STEPS, cond="status = 'upcoming' AND est_start_at > snapshot_at AND est_start_at <= snapshot_at + INTERVAL 20 MINUTE"), SNAP)
+SOON_TRANSITIONS = _TRANS.format(
+    steps=_STEPS, cond="status = 'upcoming' AND est_start_at > snapshot_at AND est_start_at <= snapshot_at + INTERVAL 20 MINUTE")
+
+
+@query("soon_transitions", SOON_TRANSITIONS, SNAP)
 def soon_transitions(fx):
     return a.soon_transitions(fx.snapshots).select(day("snapshot_at"), "id")
 

@@ -59,15 +59,15 @@ _PRESTIGE = """CASE WHEN federation = 'FIP' THEN 1000 ELSE 0 END + CASE word WHE
 
 
 @query("prestige_order", f"""
-SELECT key, {_PRESTIGE} AS prestige FROM fx_archive_index ORDER BY prestige DESC, start DESC NULLS LAST, key LIMIT 200""", IDX)
+SELECT key, {_PRESTIGE} AS prestige FROM fx_archive_index ORDER BY prestige DESC, start DESC NULLS LAST, key""", IDX)
 def prestige_order(fx):
-    return ar.prestige_order(fx.archive_index).limit(200).select("key", "prestige")
+    return ar.prestige_order(fx.archive_index).select("key", "prestige")
 
 
 @query("archive_date_order", """
-SELECT key, strftime(coalesce(start, make_date(year, 1, 1)), '%Y-%m-%d') AS start FROM fx_archive_names ORDER BY coalesce(start, make_date(year, 1, 1)) DESC, key LIMIT 300""", ("fx_archive_names",))
+SELECT key, strftime(coalesce(start, make_date(year, 1, 1)), '%Y-%m-%d') AS start FROM fx_archive_names ORDER BY coalesce(start, make_date(year, 1, 1)) DESC, key""", ("fx_archive_names",))
 def archive_date_order(fx):
-    return ar.date_order(fx.archive_names).limit(300).select("key", d("start"))
+    return ar.date_order(fx.archive_names).select("key", d("start"))
 
 
 @query("recent_or_future_events", f"""
@@ -94,7 +94,7 @@ _CC = "['dk','ES','se','AR','fr'][ordinal % 5 + 1]"
 
 @query("calendar_discovery", f"""
 SELECT key, upper({_CC}) AS country FROM fx_archive_index WHERE start <= DATE '{TODAY}' + 3 AND "end" >= DATE '{TODAY}' - 3
-  AND upper({_CC}) NOT IN ('DK','SE','DE','CZ') ORDER BY ordinal LIMIT 40""", IDX)
+  AND upper({_CC}) NOT IN ('DK','SE','DE','CZ')""", IDX)
 def calendar_discovery(fx):
     ev = fx.archive_index.withColumn("event_id", F.col("key")).withColumn("country", pick(F.col("ordinal") % 5, "dk", "ES", "se", "AR", "fr"))
     return fl.calendar_events(ev, today()).select("key", "country")
@@ -114,8 +114,7 @@ def recently_modified(fx):
 @query("play_days", f"""
 SELECT event_id, strftime(x, '%Y-%m-%d') AS play_day, rn FROM (
   SELECT event_id, x, row_number() OVER (PARTITION BY event_id ORDER BY x) AS rn FROM (
-    SELECT DISTINCT o_custkey % 20 AS event_id, CAST(o_orderdate AS DATE) AS x FROM orders WHERE o_orderkey % 9 <> 0) WHERE x BETWEEN DATE '{TODAY}' - 4 AND DATE '{TODAY}' + 7)
-WHERE rn <= 12""")
+    SELECT DISTINCT o_custkey % 20 AS event_id, CAST(o_orderdate AS DATE) AS x FROM orders WHERE o_orderkey % 9 <> 0) WHERE x BETWEEN DATE '{TODAY}' - 4 AND DATE '{TODAY}' + 7)""")
 def play_days(fx):
     k = F.col("o_orderkey")
     rows = fx.table("orders").select(

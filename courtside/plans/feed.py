@@ -36,15 +36,15 @@ def merge_feeds(fx):
 
 
 @query("feed_order", """
-SELECT id, status, row_number() OVER (ORDER BY CASE status WHEN 'live' THEN 0 WHEN 'upcoming' THEN 1 ELSE 2 END, st, first_place) AS place FROM (
+SELECT id, CASE status WHEN 'live' THEN 0 WHEN 'upcoming' THEN 1 ELSE 2 END AS state, coalesce(st, '') AS start, first_place FROM (
   SELECT id, arg_max(status, source_rank * 1000000000 + ordinal) AS status, arg_max(st, source_rank * 1000000000 + ordinal) AS st,
-    min(source_rank * 1000000000 + ordinal) AS first_place FROM fx_two_feeds GROUP BY 1) ORDER BY place LIMIT 500""", ("fx_two_feeds",))
+    min(source_rank * 1000000000 + ordinal) AS first_place FROM fx_two_feeds GROUP BY 1)""", ("fx_two_feeds",))
 def feed_order(fx):
-    """The first page of the feed; its place is numbered after the cut to one page."""
-    from pyspark.sql import Window
-
-    top = f.merge_feeds(two_feeds(fx)).orderBy(*f.feed_order()).limit(500)
-    return top.select("id", "status", F.row_number().over(Window.orderBy(*f.feed_order())).cast("long").alias("place"))
+    """The whole feed in order, each row with the keys of its place."""
+    state, start, seen = f.feed_order()
+    rows = f.merge_feeds(two_feeds(fx)).orderBy(state, start, seen)
+    place = F.col("first_seen.source_rank").cast("long") * 1000000000 + F.col("first_seen.ordinal")
+    return rows.select("id", state.cast("long").alias("state"), start.alias("start"), place.alias("first_place"))
 
 
 @query("union_feeds", """
@@ -141,9 +141,9 @@ def day_strip(fx):
 
 
 @query("followed_open", """
-SELECT id, status FROM fx_feed WHERE status <> 'final' ORDER BY CASE status WHEN 'live' THEN 0 ELSE 1 END, ordinal LIMIT 40""", FEED)
+SELECT id, status FROM fx_feed WHERE status <> 'final' ORDER BY CASE status WHEN 'live' THEN 0 ELSE 1 END, ordinal""", FEED)
 def followed_open(fx):
-    return fl.followed_open(fx.feed).select("id", "status").limit(40)
+    return fl.followed_open(fx.feed).select("id", "status")
 
 
 # --- overview -----------------------------------------------------------------------------------------
@@ -165,9 +165,9 @@ def competitions(fx):
 
 
 @query("competition_order", """
-SELECT key, name FROM fx_competitions ORDER BY live > 0 DESC, tier DESC, matches DESC, name, key LIMIT 100""", ("fx_competitions",))
+SELECT key, name FROM fx_competitions ORDER BY live > 0 DESC, tier DESC, matches DESC, name, key""", ("fx_competitions",))
 def competition_order(fx):
-    return f.competitions(fx.feed).orderBy(*f.competition_order()).limit(100).select("key", "name")
+    return f.competitions(fx.feed).orderBy(*f.competition_order()).select("key", "name")
 
 
 @query("competition_filter", """
@@ -211,9 +211,9 @@ def group_layout(fx):
 @query("group_order", """
 SELECT key, federation FROM (SELECT key, federation, matches, tier, first_seen FROM fx_competitions JOIN (
   SELECT source || ':' || tid AS key, min(ordinal) AS first_seen FROM fx_feed GROUP BY 1) USING (key))
-ORDER BY CASE WHEN federation = 'FIP' THEN '' ELSE federation END, federation, tier * 1000 + matches DESC, first_seen LIMIT 200""", ("fx_competitions", "fx_feed"))
+ORDER BY CASE WHEN federation = 'FIP' THEN '' ELSE federation END, federation, tier * 1000 + matches DESC, first_seen""", ("fx_competitions", "fx_feed"))
 def group_order(fx):
-    return f.group_layout(fx.feed).orderBy(*f.group_order()).limit(200).select("key", "federation")
+    return f.group_layout(fx.feed).orderBy(*f.group_order()).select("key", "federation")
 
 
 _MINUTE = """CASE WHEN status <> 'upcoming' THEN 0

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
-from courtside.plans.alerts import LIVE_TRANSITIONS, SCORE_CHANGES
+from courtside.plans.alerts import LIVE_TRANSITIONS, SCORE_CHANGES, SOON_TRANSITIONS
 from courtside.plans.registry import query
+from courtside.session import local_folder
 from courtside.streaming import streams as st
 
 day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
@@ -22,7 +22,7 @@ def work(fx) -> str:
         import uuid
 
         return f"{shared.rstrip('/')}/streams-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="courtside-stream-")
+    return local_folder(fx.spark.sparkContext, "courtside-stream-")
 
 
 def stream_of(fx, df, name: str):
@@ -46,7 +46,7 @@ def stream_live(fx):
     return fx.spark.read.parquet(f"{root}/out").select(day("snapshot_at"), "id")
 
 
-@query("stream_soon_transitions", None)
+@query("stream_soon_transitions", SOON_TRANSITIONS, ("fx_snapshots",))
 def stream_soon(fx):
     root = work(fx)
     snaps = fx.snapshots.select("snapshot_at", "id", "status", "est_start_at", "ordinal")

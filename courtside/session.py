@@ -23,13 +23,20 @@ def local_session(cpus: int | str = 8, name: str = "courtside") -> SparkSession:
     return spark
 
 
+def local_folder(sc, prefix: str) -> str:
+    """A folder of this machine, which no executor of a cluster can see: refused unless the master is local."""
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only without one (tests) make a local folder."""
+    """Use the shared folder the cluster names; only a local master (tests) may do without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="courtside-checkpoint-"))
+    sc.setCheckpointDir(shared or local_folder(sc, "courtside-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -70,8 +70,8 @@ def freshest(copies: DataFrame, prefer: str = "stamp") -> DataFrame:
         F.max(F.when(F.col("origin") == "d1", F.struct("stamp", "body"))).alias("d"),
         F.max(F.when(F.col("origin") == "static", F.struct("stamp", "body"))).alias("s"),
     )
-    zero = F.lit("1970-01-01").cast("timestamp_ntz")
-    stamp = lambda side: F.coalesce(F.col(f"{side}.stamp").try_cast("timestamp_ntz"), zero)
+    zero = F.lit("1970-01-01T00:00:00Z").cast("timestamp")
+    stamp = lambda side: F.coalesce(F.col(f"{side}.stamp").try_cast("timestamp"), zero)
     d1_wins = F.lit(True) if prefer == "d1" else stamp("d") >= stamp("s")
     use_d1 = d1_wins & F.col("d.body").isNotNull()
     return by.select(
@@ -81,9 +81,9 @@ def freshest(copies: DataFrame, prefer: str = "stamp") -> DataFrame:
 
 
 def body_stamp(body: Column) -> Column:
-    """generatedAt / generated_at near the start of a published JSON text."""
+    """generatedAt / generated_at of a published JSON text, wherever it stands."""
     return F.nullif(
-        F.regexp_extract(F.substring(body, 1, 400), r'"generated_?[aA]t"\s*:\s*"([^"]+)"', 1), F.lit("")
+        F.regexp_extract(body, r'"generated_?[aA]t"\s*:\s*"([^"]+)"', 1), F.lit("")
     )
 
 

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from check import oracle_connection
 from courtside.functions import lookups as lk
 from courtside.operators import alerts as al, archive as ar, contains as ct, feed as fd, filters as fl, history as h, linkage as ln, ordered as od, schedule as sch
+from courtside.plans import ORACLES
 from courtside.plans.fixtures import Fixtures, today
 from courtside.plans.linkage import part_draws
 from courtside.sources import landed, pages, tables
@@ -121,8 +123,8 @@ def test_bracket_with_a_bye_and_open_slot(spark):
     assert got == {("f", "s1", "match", "A"), ("f", None, "bye", "Z"), (None, "s2", "tbd", None), (None, "s3", "tbd", None)}
 
 
-def greedy(draws, tourneys, score):
-    edges = [(-score(p, t), p["ordinal"], t["ordinal"], p["path"], t["key"]) for p in draws for t in tourneys if p["year"] == t["year"] and score(p, t) >= 3]
+def greedy(edges):
+    """Pairs of (-score, draw place, tournament place, path, key) edges, best first, each end once."""
     took_p, took_t, out = set(), set(), set()
     for _, _, _, p, t in sorted(edges):
         if p not in took_p and t not in took_t:
@@ -130,37 +132,13 @@ def greedy(draws, tourneys, score):
     return out
 
 
-def draw_score(p, t):
-    """The linkage score in plain words, for the brute-force comparison only."""
-    import re
-
-    months = lk.MONTHS_ES
-    slug = lambda x: re.sub("[^a-z0-9]+", "", (x or "").lower())
-    words = lambda x: {w for w in re.split("[^a-z0-9]+", (x or "").lower()) if len(w) > 3 and w not in lk.STOP_DRAWS}
-    seg = [x for x in p["path"].split("/") if x]
-    month, city = months.get(seg[-2]), slug(seg[-1])
-    tc = slug((t["city"] or "").split("(")[0])
-    s = 0.0
-    if tc and city:
-        s += 3 if city in tc or tc in city else 2.5 if tc[:5] == city[:5] else 0
-    a, b = words(p["name"]), words(t["name"])
-    s += 3 * len(a & b) / min(len(a), len(b)) if a and b else 0
-    w = re.sub(r"\d+$", "", re.sub("^ppt", "", city))
-    s += 3 if len(w) > 3 and w in slug(t["name"]) else 0
-    start = t["start"]
-    if month and start and (start.month, start.day) != (1, 1):
-        d = abs(start.month - month)
-        d = min(d, 12 - d)
-        s += 3 if d == 0 else 1 if d == 1 else -3
-    return s
-
-
 def test_draw_assignment_equals_greedy_over_all_pairs(fx):
     d, t = part_draws(fx), fx.archive_names
     pairs, free = ln.assign_draws(d, t)
     got = {(r["path"], r["key"]) for r in pairs.collect()}
-    want = greedy([r.asDict() for r in d.collect()], [r.asDict() for r in t.collect()], draw_score)
-    assert got == want
+    scores = oracle_connection(SF).execute(ORACLES["score_draws"].replace(" AND c + v + w > 0", "")).fetchall()   # month-only edges too
+    path, place = {r["ordinal"]: r["path"] for r in d.collect()}, {r["key"]: r["ordinal"] for r in t.collect()}
+    assert got == greedy([(-score, d_ord, place[key], path[d_ord], key) for d_ord, key, score in scores])
     assert len({p for p, _ in got}) == len({k for _, k in got}) == len(got)
     assert free.count() == d.count() - len(got)
 
@@ -176,7 +154,15 @@ def test_month_alone_assigns_in_order_beside_shifting_edges(spark):
     tdf = spark.createDataFrame(t, "key string, ordinal int, year int, city string, name string, s string").withColumn("start", F.to_date("s"))
     ddf = spark.createDataFrame(d, "path string, ordinal int, year int, name string")
     got = {(r["path"], r["key"]) for r in ln.assign_draws(ddf, tdf)[0].collect()}
-    assert got == greedy([r.asDict() for r in ddf.collect()], [r.asDict() for r in tdf.collect()], draw_score)
+    points = {("febrero", 2): 3, ("marzo", 3): 3, ("febrero", 3): 1, ("marzo", 2): 1}
+    edges = []
+    for path, i, _, _ in d:
+        month, city = path.split("/")[3:5]
+        for key, j, _, town, _, start in t:
+            score = 3 * (town == "Oslo" and city.startswith("oslo")) + (points.get((month, int(start[5:7])), 0) if start else 0)
+            if score >= 3:
+                edges.append((-score, i, j, path, key))
+    assert got == greedy(edges)
 
 
 def test_reconcile_reads_rows_in_order(spark):
@@ -270,3 +256,19 @@ def test_filters_reach_the_scan(fx):
 def test_top_k_is_cut_before_the_shuffle(fx):
     plan = h.form(fx.match_players, fx.matches)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_stamps_count_wherever_they_stand_and_with_their_offset(spark):
+    late = '{"pad": "' + "x" * 900 + '", "generatedAt": "2026-01-02T09:00:00Z"}'
+    rows = [("a", "d1", '{"generatedAt": "2026-01-02T12:00:00+05:00"}'), ("a", "static", late)]
+    copies = spark.createDataFrame(rows, "key string, origin string, body string").withColumn("stamp", tables.body_stamp(F.col("body")))
+    assert tables.freshest(copies).first()["origin"] == "static"
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from courtside.session import local_folder
+
+    with pytest.raises(RuntimeError):
+        local_folder(SimpleNamespace(master="spark://host:7077"), "x-")
