@@ -118,14 +118,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> dict:
 
 
 def sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, label): of each class the `per_class` rows whose hashed ids are least; bounded whatever the input."""
-    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL").distinct()
+    """(doc_id, label): of each class, 0 and 1, the `per_class` rows whose hashed ids are least; bounded whatever the input."""
+    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").distinct()
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return seen.withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, folds: int = 4, fold: int = 2, bits: int = BITS) -> dict:
-    """Fit on at most `per_class` labelled documents of each class outside fold `fold`; indices are made on the executors."""
+    """Fit on at most `per_class` labelled documents of each class outside fold `fold`; indices are made on the executors.
+
+    The chosen ids are broadcast, 2 x `per_class` rows at most, so that no text is shuffled.
+    """
     chosen = sample(labels.where(~held_out(F.col("doc_id"), folds, fold)), label, per_class)
 
     def digest(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         x = [indicators(t, memo, bits).astype(np.int32).tobytes() for t in b.column("body").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
-    got = by_batch(narrow(docs).join(chosen, "doc_id"), digest, "doc_id long, label int, x binary").orderBy(F.xxhash64("doc_id"), "label", "x").collect()
+    got = by_batch(narrow(docs).join(F.broadcast(chosen), "doc_id"), digest, "doc_id long, label int, x binary").collect()
+    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["label"], bytes(r["x"])))
     return fit([np.frombuffer(r["x"], np.int32).astype(np.int64) for r in got], np.array([r["label"] for r in got]), bits)
 
 
