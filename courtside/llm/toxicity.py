@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -109,9 +111,10 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = 4, most:
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 1500, folds: int = 4, fold: int = 3) -> list[dict]:
     """Fit on a sample of labelled documents outside fold `fold`: of each combination of categories at most `per_class`.
 
-    Rows without an id or with a null category teach nothing. The driver gets the word hashes of the sample alone.
+    Rows without an id or with a category other than 0 and 1 teach nothing. The chosen ids are broadcast, `per_class` rows
+    of each combination at most, so that no text is shuffled; the driver gets the word hashes of the sample alone.
     """
-    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna().distinct()
+    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna().where(reduce(and_, [F.col(c).isin(0, 1) for c in categories])).distinct()
     rank = F.row_number().over(Window.partitionBy(*categories).orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = seen.where(~held_out(F.col("doc_id"), folds, fold)).withColumn("rank", rank).where(F.col("rank") <= per_class)
 
@@ -121,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("lo
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.binary())] + [b.column(c) for c in categories], ["doc_id", "x", *categories])
 
     schema = "doc_id long, x binary, " + ", ".join(f"{c} int" for c in categories)
-    got = by_batch(narrow(docs).join(chosen, "doc_id"), digest, schema).collect()
+    got = by_batch(narrow(docs).join(F.broadcast(chosen), "doc_id"), digest, schema).collect()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), bytes(r["x"])))
     return fit_chain([np.frombuffer(r["x"], np.uint64) for r in got], np.array([[r[c] for c in categories] for r in got]).reshape(len(got), len(categories)))
 
