@@ -109,7 +109,7 @@ def stream_health(fx):
         F.when(F.col("event_type") == "error", "timeout").alias("error"),
     )
     st.health_stream(e, f"{root}/health", f"{root}/ck").awaitTermination()
-    return fx.spark.read.parquet(f"{root}/health").select("source", "ok", stamp("last_ok_at"))
+    return st.current_health(fx.spark, f"{root}/health").select("source", "ok", stamp("last_ok_at"))
 
 
 @query("stream_baselines", """

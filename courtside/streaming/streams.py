@@ -136,11 +136,12 @@ def transition_batch(batch: DataFrame, state: str, out: str, hit: Callable[[], F
     writes the same rows again.
     """
     spark = batch.sparkSession
-    if batch.isEmpty():
+    prev = read_state(spark, f"{state}/epoch={epoch - 1}", batch)
+    if batch.isEmpty():                            # the state of the epoch before stays the last one seen
+        batch.select("snapshot_at", "id").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        prev.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
         return
     batch = cut(batch)
-    prev_path = f"{state}/epoch={epoch - 1}"
-    prev = read_state(spark, prev_path, batch)
     rows = prev.unionByName(batch)
     first = prev.agg(F.max("snapshot_at")).first()[0]
     found = al.transitions(rows, hit())
@@ -169,15 +170,17 @@ CHANGE = "id bigint, ordinal bigint, signature string"
 
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one match. Arrow batches of a match are read in event order."""
+    """Changes of one match. Arrow batches of a match are read in event order; a row without a signature changes nothing."""
     last, seen = state.get if state.exists else (None, -1)
     rows = pd.concat(list(batches)).sort_values("ordinal")
     rows = rows[rows["ordinal"] > seen]            # a replayed row is no change
-    before = rows["signature"].shift(1)
+    known = rows["signature"].ffill()
+    before = known.shift(1)
     before = before.where(before.notna(), last) if last is not None else before
-    hit = rows[before.notna() & (before != rows["signature"])]
+    hit = rows[before.notna() & rows["signature"].notna() & (before != rows["signature"])]
     if len(rows):
-        state.update((rows["signature"].iloc[-1], int(rows["ordinal"].iloc[-1])))
+        newest = known.iloc[-1]
+        state.update((last if pd.isna(newest) else newest, int(rows["ordinal"].iloc[-1])))
     yield hit[["id", "ordinal", "signature"]]
 
 
@@ -195,19 +198,36 @@ def deduplicate_alerts(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
 
 # --- source health and weekly baseline --------------------------------------------------------------
 
+def newest_epoch(spark: SparkSession, path: str) -> str:
+    """The newest finished epoch folder of a state table."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    names = [f.getPath().getName() for f in found]
+    epochs = sorted((int(n.split("=")[1]) for n in names if n.startswith("epoch=")), reverse=True)
+    return next(f"{path}/epoch={e}" for e in epochs if exists(spark, f"{path}/epoch={e}/_SUCCESS"))
+
+
+def current_health(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(newest_epoch(spark, path))
+
+
 def health_stream(status: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Last status and last success per source, kept current from a stream of status rows."""
+    """Last status and last success per source, kept current from a stream of status rows.
 
-    def fold(batch: DataFrame, _: int) -> None:
+    One folder per epoch, made from the one before it: a crash while an epoch is written loses nothing.
+    """
+
+    def fold(batch: DataFrame, epoch: int) -> None:
         new = al.latest_status(batch, ["ordinal"])
         last = batch.groupBy("source").agg(F.max("ordinal").alias("ordinal"))
         new = new.join(last, "source")
-        old = read_state(batch.sparkSession, path, new)
-        both = cut(old.unionByName(new).groupBy("source").agg(
+        old = read_state(batch.sparkSession, f"{path}/epoch={epoch - 1}", new)
+        both = old.unionByName(new).groupBy("source").agg(
             F.max_by(F.struct("ok", "match_count", "error"), "ordinal").alias("s"),
             F.max("last_ok_at").alias("last_ok_at"), F.max("ordinal").alias("ordinal"),
-        ).select("source", "s.*", "last_ok_at", "ordinal").select(*new.columns))
-        both.write.mode("overwrite").parquet(path)
+        ).select("source", "s.*", "last_ok_at", "ordinal").select(*new.columns)
+        both.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return start(status, fold, checkpoint)
 

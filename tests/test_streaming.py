@@ -1,5 +1,6 @@
 """Streaming forms over several micro-batches equal the batch forms, also after a replay."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,24 @@ def test_score_changes_over_many_batches(spark, fx, tmp_path):
     q.awaitTermination()
     got = {r["ordinal"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r["ordinal"] for r in al.score_changes(polls, ["ordinal"]).collect()}
+
+
+def test_rows_without_a_signature_change_nothing():
+    class State:
+        exists, get = True, ("a", 0)
+
+        def update(self, value):
+            self.new = value
+
+    rows, state = pd.DataFrame({"id": [1, 1, 1], "ordinal": [1, 2, 3], "signature": ["b", None, "b"]}), State()
+    out = pd.concat(list(st._changes((1,), iter([rows]), state)))
+    assert out["ordinal"].tolist() == [1] and state.new == ("b", 3)
+
+
+def test_an_empty_batch_keeps_the_last_snapshot(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "live"), (2, 1, "live"), (2, 2, "live")], "day int, id long, status string")
+    rows = rows.select(F.make_date(F.lit(2024), F.lit(1), "day").cast("timestamp").alias("snapshot_at"), "id", "status")
+    for epoch, day in enumerate((1, 9, 2)):
+        st.transition_batch(rows.where(F.dayofmonth("snapshot_at") == day), f"{tmp_path}/state", f"{tmp_path}/out", lambda: F.col("status") == "live", epoch)
+    got = sorted((r["snapshot_at"].day, r["id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 1), (2, 2)]                              # match 1 was live before the empty batch: not again
