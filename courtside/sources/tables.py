@@ -66,12 +66,13 @@ def freshest(copies: DataFrame, prefer: str = "stamp") -> DataFrame:
     the d1 copy; with prefer="d1" the d1 copy always wins. An empty copy never hides
     the other one.
     """
+    zero = F.lit("1970-01-01T00:00:00Z").cast("timestamp")
+    copy = F.struct(F.coalesce(F.col("stamp").try_cast("timestamp"), zero).alias("at"), "stamp", "body")
     by = copies.groupBy("key").agg(
-        F.max(F.when(F.col("origin") == "d1", F.struct("stamp", "body"))).alias("d"),
-        F.max(F.when(F.col("origin") == "static", F.struct("stamp", "body"))).alias("s"),
+        F.max(F.when(F.col("origin") == "d1", copy)).alias("d"),
+        F.max(F.when(F.col("origin") == "static", copy)).alias("s"),
     )
-    zero = F.lit("1970-01-01T00:00:00Z").cast("timestamp")
-    stamp = lambda side: F.coalesce(F.col(f"{side}.stamp").try_cast("timestamp"), zero)
+    stamp = lambda side: F.coalesce(F.col(f"{side}.at"), zero)
     d1_wins = F.lit(True) if prefer == "d1" else stamp("d") >= stamp("s")
     use_d1 = d1_wins & F.col("d.body").isNotNull()
     return by.select(

@@ -272,3 +272,31 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         local_folder(SimpleNamespace(master="spark://host:7077"), "x-")
+
+
+def bracket(pairs: int, heads: list[str], extra: str = "") -> str:
+    """A bracket page of one column of pairs under a header row."""
+    head = "<tr>" + "".join(f"<td><b>{h}</b></td>" for h in heads) + "</tr>"
+    rows = "".join(f'<tr><td bgcolor="#000000" class="primera"><table><tr><td>Ana {i}</td></tr><tr><td>Bea {i}</td></tr></table></td></tr>' for i in range(pairs))
+    return f"<table>{head}{rows}{extra}</table>"
+
+
+def test_page_cells_drop_tables_without_pairs_but_keep_those_of_a_pair():
+    page = bracket(8, ["Cuartos", "Semifinales", "Final"], "<tr><th>x</th><td>6/4 6/2<table><tr><td>advert</td></tr></table></td></tr>")
+    cells = {(r, c): (text, lines) for r, c, text, lines, _ in pages.page_cells(page)}
+    assert cells[(1, 0)] == ("Ana 0 Bea 0", ["Ana 0", "Bea 0"])
+    assert cells[(9, 0)] == ("6/4 6/2", ["6/4 6/2"])            # no advert, and the th takes no column
+
+
+def test_page_cells_count_each_round_once():
+    qualifying = bracket(9, ["1ª ronda", "2ª ronda", "3ª ronda"])
+    main = bracket(8, ["1/4", "Cuartos", "Semifinales", "Final"])
+    found = pages.page_cells(f"<div>{qualifying}</div><div>{main}</div>")
+    assert {text for _, _, text, _, name in found if not name} == {"1/4", "Cuartos", "Semifinales", "Final"}
+    assert sum(name for *_, name in found) == 8
+
+
+def test_freshest_prefers_a_readable_stamp_of_one_origin(spark):
+    rows = [("k", "d1", "good", "2024-05-01T09:00:00Z"), ("k", "d1", "bad", "yesterday"), ("z", "d1", "late", "2024-05-01T09:00:00Z"), ("z", "static", "early", "2024-05-01T12:00:00+05:00")]
+    got = {r["key"]: r["body"] for r in tables.freshest(spark.createDataFrame(rows, "key string, origin string, body string, stamp string")).collect()}
+    assert got == {"k": "good", "z": "late"}
