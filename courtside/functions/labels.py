@@ -52,6 +52,13 @@ TIER_RULES = (
     (word("gold"), 70), (word("silver"), 60), (word("bronze"), 50), ("promis", 30),
 )
 PRESTIGE_MARQUEE = r"master\s*final|premier padel finals|fip finals|season finals|final four|" + word("finals")
+# fixed values: level of an event by words of its name, on the professional tour and elsewhere
+PRESTIGE_RULES = (
+    (PRESTIGE_MARQUEE, 100, 100), (word("major"), 92, 92), (word("p1"), 88, 88), (word("master"), 84, 84),
+    (word("p2"), 80, 80), (word("gold"), 70, 70), (word("open"), 66, 42), (word("silver"), 52, 52),
+    (word("challenger"), 48, 32), (word("bronze"), 34, 34), ("promis", 6, 6),
+)
+PRESTIGE_OTHER = 25
 LEAGUE_WORDS = "(?i)" + word("liga") + "|league|extraliga|interclub|" + word("division") + \
     "|holdturnering|pool play|" + word("serie[an]?")
 CATEGORY_LEAD = r"(?i)^(Men|Women|Herren|Damen|Herrer?|Damer?|Mixed)\s+"
@@ -100,20 +107,9 @@ def prestige(name: Column, federation: Column, tour: Column) -> Column:
     """Marquee order of archive events; international ones rank above national ones."""
     n = F.lower(F.coalesce(name, F.lit("")))
     pro = F.coalesce(tour == "WPT", F.lit(False))
-    level = (
-        F.when(n.rlike(PRESTIGE_MARQUEE), 100)
-        .when(n.rlike(word("major")), 92)
-        .when(n.rlike(word("p1")), 88)
-        .when(n.rlike(word("master")), 84)
-        .when(n.rlike(word("p2")), 80)
-        .when(n.rlike(word("gold")), 70)
-        .when(n.rlike(word("open")), F.when(pro, 66).otherwise(42))
-        .when(n.rlike(word("silver")), 52)
-        .when(n.rlike(word("challenger")), F.when(pro, 48).otherwise(32))
-        .when(n.rlike(word("bronze")), 34)
-        .when(n.rlike("promis"), 6)
-        .otherwise(25)
-    )
+    on_tour = lk.first_match(n, [(pattern, level) for pattern, level, _ in PRESTIGE_RULES], PRESTIGE_OTHER)
+    elsewhere = lk.first_match(n, [(pattern, level) for pattern, _, level in PRESTIGE_RULES], PRESTIGE_OTHER)
+    level = F.when(pro, on_tour).otherwise(elsewhere)
     return F.when(F.coalesce(federation == "FIP", F.lit(False)), 1000).otherwise(0) + level
 
 

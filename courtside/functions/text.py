@@ -90,12 +90,15 @@ def strip_markup(html: Column) -> Column:
     return clean(F.regexp_replace(out, r"\[\s*\d+\s*\]", ""))
 
 
+# fixed values: character references of article bodies and what is read for them
+ARTICLE_REFERENCES = (("&#(?:8217|8216);", "'"), ("&#(?:8211|8212);", "-"), ("(?i)&[a-z#0-9]+;", " "))
+
+
 def article_text(html: Column) -> Column:
     """Text of an article body: tags end lines, quotes and dashes are kept readable."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", "\n")
-    out = F.regexp_replace(out, "&#(?:8217|8216);", "'")
-    out = F.regexp_replace(out, "&#(?:8211|8212);", "-")
-    out = F.regexp_replace(out, "(?i)&[a-z#0-9]+;", " ")
+    for pattern, char in ARTICLE_REFERENCES:
+        out = F.regexp_replace(out, pattern, char)
     out = F.regexp_replace(out, "[ \t]+", " ")
     return F.trim(F.regexp_replace(out, r"\n\s*\n+", "\n"), F.lit(" \n\t\r"))
 
