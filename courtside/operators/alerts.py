@@ -83,16 +83,17 @@ def follow_rows(subs: DataFrame) -> DataFrame:
     return part("player", "players").unionByName(part("tournament", "tournaments"))
 
 
-def match_follows(m: DataFrame, follows: DataFrame) -> DataFrame:
+def match_follows(m: DataFrame, follows: DataFrame, least: int = 3) -> DataFrame:
     """(endpoint, id) for every match a subscriber cares about: tournament followed, or the
-    surname (three letters or more) of a followed player inside a team name.
+    surname of a followed player inside a team name. Surnames under `least` letters are not
+    searched, as they stand inside many other names; 1 searches them all.
 
     Surnames and team names are reduced to distinct texts before they meet.
     """
     ids = m.select("id", tournament_key().alias("key")).distinct()
     by_t = follows.where("kind = 'tournament'").select("endpoint", "key").join(ids, "key").select("endpoint", "id")
     who = follows.where("kind = 'player'").select("endpoint", surname(F.col("name")).alias("needle")).where(
-        F.length("needle") >= 3
+        F.length("needle") >= least
     ).distinct()
     teams = m.select("id", F.explode("teams").alias("t")).select("id", F.lower("t.name").alias("hay")).distinct()
     pairs = contains_pairs(who.select("needle"), teams.select("hay"))

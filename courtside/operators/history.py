@@ -194,10 +194,13 @@ def profile(mp: DataFrame, matches: DataFrame) -> DataFrame:
     return out.fillna(0, zero)
 
 
-def search(players: DataFrame, mp: DataFrame, q: str, k: int = 25) -> DataFrame:
-    """Players whose name contains q with their number of matches; prefix hits first."""
+def search(players: DataFrame, mp: DataFrame, q: str, k: int = 25, least: int = 2) -> DataFrame:
+    """Players whose name contains q with their number of matches; prefix hits first.
+
+    A text of fewer than `least` characters finds nobody; 0 answers every text.
+    """
     q = q.strip()
-    hits = players.where(F.col("name").ilike(f"%{q}%")) if len(q) >= 2 else players.limit(0)
+    hits = players.where(F.col("name").ilike(f"%{q}%")) if len(q) >= least else players.limit(0)
     counts = mp.join(hits.select(F.col("id").alias("player_id")), "player_id", "left_semi").groupBy("player_id").agg(
         F.count("*").alias("matches")
     )
