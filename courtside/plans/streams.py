@@ -38,6 +38,14 @@ def events_stream(fx):
     return fx.spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(fx.dir)
 
 
+def events_in_batches(fx, n: int = 4):
+    """The event table over `n` micro-batches; rows are dealt by a hash, so every batch after the first holds late ones."""
+    e = fx.table("events")
+    path = os.path.join(work(fx), "events")
+    e.repartition(n, "event_id").write.parquet(path)
+    return fx.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_live_transitions", LIVE_TRANSITIONS, ("fx_snapshots",))
 def stream_live(fx):
     root = work(fx)
@@ -74,7 +82,7 @@ SELECT user_id AS key, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FR
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'""")
 def stream_upserts(fx):
     root = work(fx)
-    changes = events_stream(fx).select(
+    changes = events_in_batches(fx).select(
         F.col("user_id").alias("key"), "event_id", F.col("ts").alias("updated_at"), "value", (F.col("event_type") == "error").alias("deleted")
     )
     st.upsert_stream(changes, f"{root}/subs", f"{root}/ck", ["key"], ["updated_at", "event_id"], 8).awaitTermination()
@@ -103,7 +111,7 @@ def stream_ingest(fx):
 SELECT source, arg_max(ok, ordinal) AS ok, strftime(max(CASE WHEN ok THEN snapshot_at END), '%Y-%m-%d %H:%M:%S') AS last_ok_at FROM fx_source_status GROUP BY 1""", ("fx_source_status",))
 def stream_health(fx):
     root = work(fx)
-    e = events_stream(fx).select(
+    e = events_in_batches(fx).select(
         (F.col("user_id") % 5).alias("source"), F.col("ts").alias("snapshot_at"), F.col("event_id").alias("ordinal"),
         (F.col("event_type") != "error").alias("ok"), F.floor("value").cast("int").alias("match_count"),
         F.when(F.col("event_type") == "error", "timeout").alias("error"),
