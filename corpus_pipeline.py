@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from courtside.llm import decontamination, line_dedup, near_dedup, packing, quality
 from courtside.llm.common import shared, table
+from courtside.llm.queries import LINES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def line_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that repeat an earlier one; `n_chars` is that of the text left. Documents with no text left go."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, **LINES)
     changed = F.size("removed_lines") > 0
     return out.where(~changed | (F.trim("text") != "")).select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in COLUMNS])
 

@@ -12,6 +12,8 @@ from courtside.llm.common import held_out, shared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: How op2 and the pipeline compare lines: as sets of words.
+LINES = {"width": 1}
 
 
 def query(fn):
@@ -56,7 +58,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), **LINES)
     return out.select("doc_id", F.size("removed_lines").cast("long").alias("lines_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
