@@ -12,8 +12,8 @@ from courtside.llm.common import held_out, shared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: How op2 and the pipeline compare lines: as sets of words.
-LINES = {"width": 1}
+#: How op2 and the pipeline compare lines: as sets of words, lines of fewer than five words as a whole.
+LINES = {"width": 1, "whole": 5}
 
 
 def query(fn):

@@ -9,7 +9,7 @@ from courtside.llm.queries import LINES, QUERIES
 from .conftest import SF
 
 
-def words(line, whole=0):
+def words(line, whole=5):
     w = line.lower().split()
     return frozenset([tuple(w)] if len(w) < whole else w)
 
@@ -56,6 +56,11 @@ def test_one_changed_word(spark):
     assert gone(df) == {(2, 0)}
 
 
+def test_short_lines(spark):
+    df = spark.createDataFrame([(1, "Home\nRead more\n\n \na a a a a\nsigned by the editor"), (2, "read  MORE\nmore read\n\n \na\nhome page\nhome")], "doc_id long, text string")
+    assert gone(df) == {(2, 0), (2, 6)}
+
+
 def test_query_and_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
