@@ -25,8 +25,8 @@ def line_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
-    return near_dedup.keep_first(docs, width=5).select(*COLUMNS)
+    """Without documents that have an earlier near copy: five-word shingles of likeness 0.8 or more, or SimHash within 4 bits."""
+    return near_dedup.without_copies(docs).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtside.llm import line_dedup
 from courtside.llm.common import by_batch, components, narrow, shared
 
 BITS = 64
@@ -136,3 +137,16 @@ def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """Of each group of near-duplicate documents the one with the least id, with all columns; rows without an id stay."""
     names = near_duplicates(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(names, docs["doc_id"] == names["_gone"], "left_anti")
+
+
+def without_copies(docs: DataFrame, t: float = 0.8, width: int = 5, radius: int = 4) -> DataFrame:
+    """`docs` without each document that has an earlier near copy, kept or not: a smaller id and likeness `t` or more.
+
+    Likeness: Jaccard of the lower-cased `width`-word shingles of the whole text, its whole word sequence if it has fewer
+    words. All pairs are found, by the join of line_dedup over texts as one line each. Groups within `radius` bits keep their
+    least id as in keep_first, texts without words among them. `docs` has to be a stored table, as for dedup_lines.
+    """
+    flat = docs.withColumn("_flat", F.translate("text", "\n", " "))
+    left = line_dedup.dedup_lines(flat, t, width, "_flat", whole=width).where(F.size("removed_lines") == 0).select(*docs.columns)
+    names = near_duplicates(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return left.join(names, left["doc_id"] == names["_gone"], "left_anti")
