@@ -11,21 +11,26 @@ from pyspark.sql.window import Window
 from courtside.llm.common import by_batch, narrow
 
 
-def train(docs: DataFrame, learn, dict_bytes: int = 110 << 10, per_lang: int = 300, lang: str = "lang") -> dict[str, bytes]:
+def train(docs: DataFrame, learn, dict_bytes: int = 110 << 10, per_lang: int = 300, lang: str = "lang", share: int = 4096) -> dict[str, bytes]:
     """A raw-content dictionary of each language: texts of at most `per_lang` documents, least hashed ids first.
 
-    `learn` is the condition on rows to learn from. Of each chosen text all of it counts until `dict_bytes` are full; rows
-    without a language, an id or a text teach nothing. What reaches the driver is bounded by languages, not by documents.
+    `learn` is the condition on rows to learn from. The first `share` bytes of each chosen text count first, so that many
+    texts speak for a language; where these do not fill `dict_bytes`, the rest of the texts follows. Rows without a language,
+    an id or a text teach nothing. What reaches the driver is bounded by languages, not by documents.
     """
     rows = docs.where(learn).where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).alias("lang")).distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang)
-    texts = narrow(docs).join(chosen, "doc_id")
-    share = F.sum(F.least(F.octet_length("body"), F.lit(4096))).over(Window.partitionBy("lang").orderBy("rank", "body"))
-    got = texts.withColumn("until", share).where(F.col("until") <= dict_bytes + 4096).select("lang", "rank", F.substring("body", 1, 4096).alias("body")).orderBy("lang", "rank", "body").collect()
+    size = F.octet_length("body")
+    texts = narrow(docs).join(chosen, "doc_id").withColumn("later", F.explode(F.when(size > share, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    use = F.when(F.col("later"), size - share).otherwise(F.least(size, F.lit(share)))
+    until = F.sum(use).over(Window.partitionBy("lang").orderBy("later", "rank", "body"))
+    piece = F.when(F.col("later"), F.substring("body", share + 1, dict_bytes)).otherwise(F.substring("body", 1, share))
+    got = texts.withColumn("use", use).withColumn("until", until).where(F.col("until") - F.col("use") <= dict_bytes + share).select("lang", "later", "rank", piece.alias("piece"), "body")
+    got = got.orderBy("lang", "later", "rank", "body").drop("body").collect()
     out: dict[str, bytes] = {}
     for r in got:
-        out[r["lang"]] = (bytes(r["body"]).decode(errors="ignore").lower().encode() + b"\n" + out.get(r["lang"], b""))[-dict_bytes:]
+        out[r["lang"]] = (bytes(r["piece"]).decode(errors="ignore").lower().encode() + b"\n" + out.get(r["lang"], b""))[-dict_bytes:]
     return out
 
 
