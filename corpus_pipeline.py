@@ -13,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject (score 0.5 or more); every row is scored in place, none is joined."""
+    """Documents that score 0.5 or more (op8 predicts 1 from 0.7; README has the counts of both); every row is scored in place, none is joined."""
     return quality.accepted(docs, quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).select(*COLUMNS)
 
 
