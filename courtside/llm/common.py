@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,3 +165,15 @@ def to_shards(order_key: np.ndarray, shards: int) -> np.ndarray:
         return np.array([0, len(order_key)])
     at = np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - (shards.bit_length() - 1))
     return np.r_[0, np.searchsorted(order_key, at), len(order_key)]
+
+
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "body") -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about `most_bytes` of `column`, so that working memory follows the run, or one row longer than that."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        run = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield b.slice(lo, hi - lo)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
+from courtside.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, toxicity
 from courtside.llm.common import held_out, shared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,25 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _made_periodic(doc: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with a periodic end in every tenth document, as its id's checksum says; a null id counts as the empty text."""
+    h, n = zlib.crc32(b"" if doc is None else str(doc).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    turn, rest = words[a : a + p], n - a
+    return words[:a] + (turn * (rest // p + 1))[:rest]
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), alter=_made_periodic))
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
