@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, toxicity
+from courtside.llm import alignment, decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, toxicity
 from courtside.llm.common import held_out, shared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), keep=False).withColumnRenamed("groups", "groups_sha256")
