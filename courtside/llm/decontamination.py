@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import narrow, shared
+from courtside.llm.common import lean, narrow, shared
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -130,7 +130,7 @@ def search(docs: DataFrame, benchmark: list[tuple[object, bytes | None]], width:
                     ["doc_id", "n_words", "words_hit", "items", "matches"])
                 done = end
 
-    return narrow(docs).mapInArrow(run, _MATCHES)
+    return narrow(docs).mapInArrow(lean(run), _MATCHES)
 
 
 def merged(spans) -> list[tuple[int, int]]:

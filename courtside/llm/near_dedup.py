@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.llm import line_dedup
-from courtside.llm.common import by_batch, components, narrow, shared
+from courtside.llm.common import by_batch, components, lean, narrow, shared
 
 BITS = 64
 
@@ -115,7 +115,7 @@ def ball_links(fps: DataFrame, radius: int = 4, per_part: int = 1000) -> DataFra
             yield out
 
     dealt = by_batch(fps.select("fp"), to_parts, "part long, fp long").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(collide, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(collide), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -139,14 +139,16 @@ def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return docs.join(names, docs["doc_id"] == names["_gone"], "left_anti")
 
 
-def without_copies(docs: DataFrame, t: float = 0.8, width: int = 5, radius: int = 4) -> DataFrame:
+def without_copies(docs: DataFrame, t: float = 0.8, width: int = 5, radius: int = 4, chunk_bytes: int = 4 << 20) -> DataFrame:
     """`docs` without each document that has an earlier near copy, kept or not: a smaller id and likeness `t` or more.
 
     Likeness: Jaccard of the lower-cased `width`-word shingles of the whole text, its whole word sequence if it has fewer
     words. All pairs are found, by the join of line_dedup over texts as one line each. Groups within `radius` bits keep their
-    least id as in keep_first, texts without words among them. `docs` has to be a stored table, as for dedup_lines.
+    least id as in keep_first, texts without words among them. `docs` has to be a stored table, as for dedup_lines; it may have columns of any names. Chunks are smaller than for lines: a text is one set of many shingles.
     """
-    flat = docs.withColumn("_flat", F.translate("text", "\n", " "))
-    left = line_dedup.dedup_lines(flat, t, width, "_flat", whole=width).where(F.size("removed_lines") == 0).select(*docs.columns)
+    own = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)]           # so that no name clashes with those added
+    flat = docs.select(*own, F.col("doc_id"), F.translate("text", "\n", " ").alias("line"))
+    left = line_dedup.dedup_lines(flat, t, width, "line", chunk_bytes=chunk_bytes, whole=width).where(F.size("removed_lines") == 0)
+    left = left.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
     names = near_duplicates(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return left.join(names, left["doc_id"] == names["_gone"], "left_anti")

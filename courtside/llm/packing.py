@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.llm.common import by_batch, narrow, shared
+from courtside.llm.common import by_batch, lean, narrow, shared
 
 _APART = re.compile(r"^\s|\s$|\s\s")          # white space that does not stand alone between two other characters
 
@@ -85,7 +85,7 @@ def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", capacity: int =
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     text = narrow(docs).select("doc_id", F.col("body").cast("string").alias("text"))
-    return text.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return text.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.llm.common import by_batch, held_out, mixed, narrow, rolling
+from courtside.llm.common import by_batch, held_out, lean, mixed, narrow, rolling
 import xxhash
 
 BITS = 18
@@ -170,4 +170,4 @@ def accepted(docs: DataFrame, model: dict, threshold: float = 0.5, text: str = "
                 v = margins([indicators(None if t is None else t.encode(), memo, bits) for t in texts], m["r"], m["w"])
                 yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(m["a"] * v + m["b"], -30, 30))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
