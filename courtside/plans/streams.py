@@ -6,10 +6,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from courtside.plans.alerts import LIVE_TRANSITIONS, SCORE_CHANGES, SOON_TRANSITIONS
+from courtside.plans.alerts import LIVE_TRANSITIONS, SCORE_CHANGES, SOON_TRANSITIONS, polls
 from courtside.plans.registry import query
 from courtside.session import local_folder
-from courtside.streaming import streams as st
+from courtside.streaming import keyed, streams as st
 
 day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
@@ -32,12 +32,6 @@ def stream_of(fx, df, name: str):
     return fx.spark.readStream.schema(df.schema).parquet(path)
 
 
-def events_stream(fx):
-    e = fx.table("events")
-    # a file stream reads a folder; the filter picks the one table out of it
-    return fx.spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(fx.dir)
-
-
 def events_in_batches(fx, n: int = 4):
     """The event table over `n` micro-batches; rows are dealt by a hash, so every batch after the first holds late ones."""
     e = fx.table("events")
@@ -46,35 +40,45 @@ def events_in_batches(fx, n: int = 4):
     return fx.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def daily_files(fx, df, name: str, last: str):
+    """A stream of one file a day, out of order: each second day comes before the one it follows, some across micro-batches.
+
+    The last file holds a row that only tells the time, so that every day before it becomes final.
+    """
+    path, df = os.path.join(work(fx), name), df.cache()
+    days = [r[0] for r in df.select(F.to_date("snapshot_at")).distinct().orderBy(1).collect()]         # a row a day
+    for k in range(1, len(days) - 1, 2):
+        days[k], days[k + 1] = days[k + 1], days[k]
+    for d in days:
+        df.where(F.to_date("snapshot_at") == F.lit(d)).coalesce(1).write.mode("append").parquet(path)
+    tick = [F.lit(last).cast(f.dataType).alias(f.name) if f.name == "snapshot_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    fx.spark.range(1).select(*tick).write.mode("append").parquet(path)
+    df.unpersist()
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+
+
 @query("stream_live_transitions", LIVE_TRANSITIONS, ("fx_snapshots",))
 def stream_live(fx):
     root = work(fx)
-    snaps = fx.snapshots.select("snapshot_at", "id", "status", "est_start_at", "ordinal")
-    st.live_transitions_stream(stream_of(fx, snaps, "snapshots"), f"{root}/state", f"{root}/out", f"{root}/ck").awaitTermination()
-    return fx.spark.read.parquet(f"{root}/out").select(day("snapshot_at"), "id")
+    snaps = keyed.with_deliveries(fx.snapshots.select("snapshot_at", "id", "status", "est_start_at"))
+    keyed.live_transitions_stream(daily_files(fx, snaps, "snapshots", "2100-01-01"), f"{root}/out", f"{root}/ck", buckets=8).awaitTermination()
+    return keyed.results(fx.spark, f"{root}/out").select(day("snapshot_at"), F.col("id").cast("long").alias("id"))
 
 
 @query("stream_soon_transitions", SOON_TRANSITIONS, ("fx_snapshots",))
 def stream_soon(fx):
     root = work(fx)
-    snaps = fx.snapshots.select("snapshot_at", "id", "status", "est_start_at", "ordinal")
-    st.soon_transitions_stream(stream_of(fx, snaps, "snapshots"), f"{root}/state", f"{root}/out", f"{root}/ck").awaitTermination()
-    return fx.spark.read.parquet(f"{root}/out").select(day("snapshot_at"), "id")
+    snaps = keyed.with_deliveries(fx.snapshots.select("snapshot_at", "id", "status", "est_start_at"))
+    keyed.soon_transitions_stream(daily_files(fx, snaps, "snapshots", "2100-01-01"), f"{root}/out", f"{root}/ck", buckets=8).awaitTermination()
+    return keyed.results(fx.spark, f"{root}/out").select(day("snapshot_at"), F.col("id").cast("long").alias("id"))
 
 
 @query("stream_score_changes", SCORE_CHANGES)
 def stream_scores(fx):
     root = work(fx)
-    e = events_stream(fx).where("event_type <> 'error'")
-    status = F.when(F.col("event_type") == "click", "live").when(F.col("event_type") == "purchase", "final").otherwise("upcoming")
-    polls = e.select(
-        F.col("user_id").alias("id"), F.col("event_id").alias("ordinal"),
-        F.concat((F.floor("value") % 3).cast("string"), F.lit("|"), status).alias("signature"),
-    )
-    q = st.score_changes_stream(polls).writeStream.format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return fx.spark.read.parquet(f"{root}/out").select("id", "ordinal")
+    rows = polls(fx).withColumn("snapshot_at", F.col("snapshot_at").cast("timestamp_ntz"))
+    keyed.score_changes_stream(daily_files(fx, rows, "polls", "2100-01-01"), f"{root}/out", f"{root}/ck", buckets=8).awaitTermination()
+    return keyed.results(fx.spark, f"{root}/out").select(F.col("id").cast("long").alias("id"), "ordinal")
 
 
 @query("stream_upserts", """
@@ -135,12 +139,8 @@ def stream_baselines(fx):
 SELECT DISTINCT user_id AS id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour FROM events WHERE event_type = 'click'""")
 def stream_dedup(fx):
     root = work(fx)
-    e = events_stream(fx).where("event_type = 'click'").select(
+    e = events_in_batches(fx).where("event_type = 'click'").select(
         F.col("user_id").alias("id"), F.date_trunc("hour", "ts").alias("snapshot_at")
     )
-    q = st.deduplicate_alerts(e).writeStream.format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return fx.spark.read.parquet(f"{root}/out").select("id", F.date_format("snapshot_at", "yyyy-MM-dd HH").alias("hour"))
-
-
+    st.deduplicated_alerts_stream(e, f"{root}/sent", f"{root}/ck").awaitTermination()
+    return fx.spark.read.parquet(f"{root}/sent").select("id", F.date_format("snapshot_at", "yyyy-MM-dd HH").alias("hour"))

@@ -4,18 +4,16 @@ Streams carry rows of snapshots or deliveries. State that must be compared with
 arrival lives in keyed tables under a state folder (shared storage on a cluster), split
 into hash buckets so that a micro-batch rewrites only the buckets it touches. Every merge
 is decided by event order, so replaying a micro-batch after a failure changes nothing.
+Transitions and score changes keep state per key in the state store instead: see keyed.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from courtside.functions import lookups as lk
 from courtside.operators import alerts as al, feed as fd
 from courtside.session import cut
 
@@ -127,73 +125,23 @@ def merged_feed(spark: SparkSession, path: str) -> DataFrame:
     return fd.merge_feeds(rows)
 
 
-# --- transitions --------------------------------------------------------------------------------
+# --- alerts sent once ------------------------------------------------------------------------
 
-def transition_batch(batch: DataFrame, state: str, out: str, hit: Callable[[], F.Column], epoch: int) -> None:
-    """Transitions of the snapshots of a batch, the last seen snapshot carried over as state.
+def deduplicated_alerts_stream(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each (id, snapshot_at) alert once, however late it comes or whichever producer repeats it.
 
-    The state has one folder per epoch: a replayed epoch reads the state before it and
-    writes the same rows again.
+    What was sent is a table by day and epoch; a batch is compared with the days it touches, in epochs before its own, so an
+    epoch that runs again writes the same rows and no alert is too late to be judged.
     """
-    spark = batch.sparkSession
-    prev = read_state(spark, f"{state}/epoch={epoch - 1}", batch)
-    if batch.isEmpty():                            # the state of the epoch before stays the last one seen
-        batch.select("snapshot_at", "id").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        prev.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-        return
-    batch = cut(batch)
-    rows = prev.unionByName(batch)
-    first = prev.agg(F.max("snapshot_at")).first()[0]
-    found = al.transitions(rows, hit())
-    if first is not None:
-        found = found.where(F.col("snapshot_at") > F.lit(first))
-    found.select("snapshot_at", "id").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-    last = batch.agg(F.max("snapshot_at")).first()[0]
-    batch.where(F.col("snapshot_at") == F.lit(last)).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-
-
-def live_transitions_stream(snapshots: DataFrame, state: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Matches that become live, per snapshot. A micro-batch holds whole snapshots, in order."""
-    hit = lambda: F.col("status") == lk.LIVE
-    return start(snapshots, lambda b, e: transition_batch(b, state, out, hit, e), checkpoint)
-
-
-def soon_transitions_stream(snapshots: DataFrame, state: str, out: str, checkpoint: str) -> StreamingQuery:
-    hit = lambda: (F.col("status") == lk.UPCOMING) & al.within_lead(F.col("est_start_at"), F.col("snapshot_at"))
-    return start(snapshots, lambda b, e: transition_batch(b, state, out, hit, e), checkpoint)
-
-
-# --- score changes: keyed state ------------------------------------------------------------------
-
-SIGNATURE_STATE = "signature string, ordinal bigint"
-CHANGE = "id bigint, ordinal bigint, signature string"
-
-
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one match. Arrow batches of a match are read in event order; a row without a signature changes nothing."""
-    last, seen = state.get if state.exists else (None, -1)
-    rows = pd.concat(list(batches)).sort_values("ordinal")
-    rows = rows[rows["ordinal"] > seen]            # a replayed row is no change
-    known = rows["signature"].ffill()
-    before = known.shift(1)
-    before = before.where(before.notna(), last) if last is not None else before
-    hit = rows[before.notna() & rows["signature"].notna() & (before != rows["signature"])]
-    if len(rows):
-        newest = known.iloc[-1]
-        state.update((last if pd.isna(newest) else newest, int(rows["ordinal"].iloc[-1])))
-    yield hit[["id", "ordinal", "signature"]]
-
-
-def score_changes_stream(polls: DataFrame) -> DataFrame:
-    """Rows whose signature differs from the last one seen for the match (id, ordinal, signature)."""
-    return polls.groupBy("id").applyInPandasWithState(
-        _changes, CHANGE, SIGNATURE_STATE, "append", GroupStateTimeout.NoTimeout
-    )
 
+    def fold(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        new = cut(batch.select("id", "snapshot_at").distinct().withColumn("day", F.to_date("snapshot_at")).withColumn("epoch", F.lit(epoch).cast("long")))
+        days = [r["day"] for r in new.select("day").distinct().collect()]          # as many as there are days in a batch
+        old = read_state(spark, path, new).where(F.col("day").isin(days) & (F.col("epoch") < epoch))
+        new.join(old, ["id", "snapshot_at"], "left_anti").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(path)
 
-def deduplicate_alerts(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each (id, snapshot) alert once even if two producers emit it."""
-    return alerts.withWatermark("snapshot_at", late).dropDuplicatesWithinWatermark(["id", "snapshot_at"])
+    return start(alerts, fold, checkpoint)
 
 
 # --- source health and weekly baseline --------------------------------------------------------------

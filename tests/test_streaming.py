@@ -1,12 +1,11 @@
 """Streaming forms over several micro-batches equal the batch forms, also after a replay."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from courtside.operators import alerts as al
 from courtside.plans.fixtures import Fixtures
-from courtside.streaming import streams as st
+from courtside.streaming import keyed, streams as st
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,13 +25,66 @@ def stream(spark, df, path):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_live_transitions_over_many_batches(spark, fx, tmp_path):
-    snaps = fx.snapshots.where("snapshot_at < timestamp_ntz'2024-01-09'").select("snapshot_at", "id", "status", "est_start_at", "ordinal")
+def days(spark, rows, schema, path):
+    """One file for each list of rows, in order; a row's first value is its day of January, or None for a file without rows."""
+    for own in rows:
+        df = spark.createDataFrame(own, "day int, " + schema)
+        df.withColumn("snapshot_at", F.make_timestamp_ntz(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0))).drop("day").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def told(spark, out, kind):
+    return sorted((r["snapshot_at"].day, r["id"]) for r in keyed.results(spark, out, kind).collect() if r["id"])
+
+
+def test_transitions_of_late_and_empty_snapshots(spark, tmp_path):
+    live = lambda day, *ids: [(day, None, None), *[(day, i, "live") for i in ids]]                     # noqa: E731
+    files = [
+        live(1, 1, 2), live(3, 1, 3), [], live(2, 1),                     # day 2 comes after day 3, within the delay
+        live(4), live(8, 1, 2),                                           # nobody is live on day 4; nothing heard of days 5 to 7
+        live(4, 9), live(3, 7),                                           # too late: day 8 has passed them
+        live(9, 1, 4), live(20),
+    ]
+    out = str(tmp_path / "out")
+    keyed.live_transitions_stream(days(spark, files, "id long, status string", str(tmp_path / "in")), out, str(tmp_path / "ck"), "2 days", 2).awaitTermination()
+    assert told(spark, out, keyed.ON_TIME) == [(1, "1"), (1, "2"), (3, "3"), (8, "1"), (8, "2"), (9, "4")]
+    assert told(spark, out, keyed.LATE) == [(3, "7"), (4, "9")]
+    state = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", "waiting").load()
+    assert {r["user_map_key"]["at"] for r in state.collect()} == {1705708800000}                                # only the last snapshot waits
+
+
+def test_transitions_equal_those_of_the_history(spark, fx, tmp_path):
+    snaps = keyed.with_deliveries(fx.snapshots.where("snapshot_at < timestamp_ntz'2024-01-06'").select("snapshot_at", "id", "status", "est_start_at"))
     parts(snaps, str(tmp_path / "in"), "snapshot_at")
+    snaps.limit(0).unionByName(spark.range(1).select(F.lit("2024-02-01").cast("timestamp_ntz").alias("snapshot_at")), allowMissingColumns=True).write.mode("append").parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    st.live_transitions_stream(stream(spark, snaps, str(tmp_path / "in")), str(tmp_path / "s"), out, str(tmp_path / "ck")).awaitTermination()
-    got = {(r["snapshot_at"], r["id"]) for r in spark.read.parquet(out).collect()}
-    assert got == {(r["snapshot_at"], r["id"]) for r in al.live_transitions(snaps).collect()} and len(spark.read.parquet(out).inputFiles()) > 1
+    keyed.soon_transitions_stream(stream(spark, snaps, str(tmp_path / "in")), out, str(tmp_path / "ck"), buckets=2).awaitTermination()
+    got = {(r["snapshot_at"], int(r["id"])) for r in keyed.results(spark, out).collect()}
+    assert got and got == {(r["snapshot_at"], r["id"]) for r in al.soon_transitions(snaps.where("id IS NOT NULL")).collect()}
+
+
+def test_score_changes_of_late_rows_and_forgotten_ids(spark, tmp_path):
+    files = [
+        [(1, 7, 1, "a"), (1, 8, 2, "x"), (1, 7, 3, None)],
+        [(3, 7, 6, "b"), (3, 7, 7, "c")], [(2, 7, 4, "b"), (2, 8, 5, "x")],      # out of order: 4 is the change to b, 6 is none
+        [(9, 8, 8, "y"), (9, 8, 8, "y")], [],                                     # the same row twice
+        [(4, 7, 9, "z")],                                                         # too late
+        [(25, 7, 10, "d"), (25, 8, 11, "y")], [(30, 8, 12, "x")], [(31, None, None, None)],
+    ]
+    out = str(tmp_path / "out")
+    keyed.score_changes_stream(days(spark, files, "id long, ordinal long, signature string", str(tmp_path / "in")), out, str(tmp_path / "ck"), "1 day", "18 days", 2).awaitTermination()
+    got = sorted((r["ordinal"], r["signature"]) for r in keyed.results(spark, out).collect())
+    assert got == [(4, "b"), (7, "c"), (8, "y")]                          # 7 was idle for 22 days: its d is a first sight; day 30 still waits
+    assert [(r["ordinal"], r["id"]) for r in keyed.results(spark, out, keyed.LATE).collect()] == [(9, "7")]
+
+
+def test_alerts_are_sent_once_however_late(spark, tmp_path):
+    files = [[(1, 5)], [(9, 5), (9, 6)], [(1, 5), (1, 6), (9, 6)], []]
+    sent = str(tmp_path / "sent")
+    source = days(spark, files, "id long", str(tmp_path / "in"))
+    st.deduplicated_alerts_stream(source, sent, str(tmp_path / "ck")).awaitTermination()
+    got = sorted((r["snapshot_at"].day, r["id"], r["epoch"]) for r in spark.read.parquet(sent).collect())
+    assert got == [(1, 5, 0), (1, 6, 2), (9, 5, 1), (9, 6, 1)]
 
 
 def test_upserts_survive_a_replayed_batch(spark, fx, tmp_path):
@@ -56,36 +108,3 @@ def test_failed_delivery_keeps_last_good_matches(spark, tmp_path):
     assert {r["id"] for r in st.merged_feed(spark, path).collect()} == {"a1", "a2", "b2"}
     status = {r["source"]: (r["ok"], str(r["last_ok_at"])[:10]) for r in spark.read.parquet(f"{path}/status").collect()}
     assert status == {"a": (False, "2024-01-01"), "b": (True, "2024-01-02")}
-
-
-def test_score_changes_over_many_batches(spark, fx, tmp_path):
-    polls = fx.events.where("event_type <> 'error'").select(
-        F.col("user_id").alias("id"), F.col("event_id").alias("ordinal"), F.col("ts").alias("snapshot_at"), F.col("status").alias("signature"), F.to_date("ts").alias("d")
-    ).where("d < date'2024-01-07'")
-    parts(polls, str(tmp_path / "in"), "d")
-    q = st.score_changes_stream(stream(spark, polls, str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["ordinal"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {r["ordinal"] for r in al.score_changes(polls, ["ordinal"]).collect()}
-
-
-def test_rows_without_a_signature_change_nothing():
-    class State:
-        exists, get = True, ("a", 0)
-
-        def update(self, value):
-            self.new = value
-
-    rows, state = pd.DataFrame({"id": [1, 1, 1], "ordinal": [1, 2, 3], "signature": ["b", None, "b"]}), State()
-    out = pd.concat(list(st._changes((1,), iter([rows]), state)))
-    assert out["ordinal"].tolist() == [1] and state.new == ("b", 3)
-
-
-def test_an_empty_batch_keeps_the_last_snapshot(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, "live"), (2, 1, "live"), (2, 2, "live")], "day int, id long, status string")
-    rows = rows.select(F.make_date(F.lit(2024), F.lit(1), "day").cast("timestamp").alias("snapshot_at"), "id", "status")
-    for epoch, day in enumerate((1, 9, 2)):
-        st.transition_batch(rows.where(F.dayofmonth("snapshot_at") == day), f"{tmp_path}/state", f"{tmp_path}/out", lambda: F.col("status") == "live", epoch)
-    got = sorted((r["snapshot_at"].day, r["id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [(1, 1), (2, 2)]                              # match 1 was live before the empty batch: not again
