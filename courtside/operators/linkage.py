@@ -22,7 +22,7 @@ from courtside.functions.text import (
 from courtside.operators.contains import contains_pairs
 from courtside.operators.ordered import best_row, ordinal_slice, running
 from courtside.operators.schedule import pair_rows
-from courtside.session import cut
+from courtside.session import cut, rounds
 from courtside.sources.tables import GuardFailed
 
 
@@ -365,21 +365,33 @@ def month_edges(draws: DataFrame, t: DataFrame, weak: DataFrame) -> DataFrame:
 def assign_one_to_one(edges: DataFrame) -> DataFrame:
     """Greedy best-first assignment, each end used once: path, key, score.
 
-    Order: score descending, then draw, then tournament. An edge that is best for both of
-    its ends is certain to be taken, so every round takes all of those at once and drops
-    the ends they use, until no edge is left; the best edge of all is always taken, so it ends.
+    Order: score descending, then draw, then tournament. Each end points at its best edge; an edge that both of its ends point
+    at is certain to be taken. A round looks only at ends whose edge went to another, which point anew among what is left.
+    Edges are written once; a round writes the new pointers and the edges taken, and a pointer is written again only when an
+    edge of its end died, so all rounds together write no more than the edges. The best edge left is always taken, so it ends.
     """
-    left = cut(edges.select("path", "key", "d_ord", "t_ord", "score"))
-    taken = None
-    while not left.isEmpty():
-        pref = F.struct("score", -F.col("d_ord"), -F.col("t_ord"))
-        by_path = left.groupBy("path").agg(F.max_by("key", pref).alias("key"))
-        by_key = left.groupBy("key").agg(F.max_by("path", pref).alias("path"))
-        won = cut(left.join(by_path, ["path", "key"]).join(by_key, ["path", "key"]))
-        taken = won if taken is None else taken.unionByName(won)
-        left = cut(left.join(won.select("path"), "path", "left_anti").join(won.select("key"), "key", "left_anti"))
-    out = taken if taken is not None else left
-    return out.select("path", "key", "score", "d_ord", "t_ord")
+    spark = edges.sparkSession
+    pref = F.struct("score", -F.col("d_ord"), -F.col("t_ord"))
+    left = rounds(spark, "edges", edges.select("path", "key", "d_ord", "t_ord", "score"))
+    all_edges = left.add(edges.select("path", "key", "d_ord", "t_ord", "score"))
+    by_path, by_key = (rounds(spark, n, all_edges.select("path", "key")) for n in ("by-path", "by-key"))
+    won = rounds(spark, "won", all_edges)
+    at_path = at_key = None                                       # ends that point anew; none yet: all of them
+    while True:
+        live = all_edges if at_path is None else all_edges.join(won.rows().select("path"), "path", "left_anti").join(won.rows().select("key"), "key", "left_anti")
+        of_path = live if at_path is None else live.join(at_path, "path", "left_semi")
+        of_key = live if at_key is None else live.join(at_key, "key", "left_semi")
+        old_path = by_path.rows()
+        new_path = by_path.add(of_path.groupBy("path").agg(F.max_by("key", pref).alias("key")))
+        new_key = by_key.add(of_key.groupBy("key").agg(F.max_by("path", pref).alias("path")).select("path", "key"))
+        # a pair is taken when its second end points at it: one of the two pointers is new
+        both = new_path.join(by_key.rows(), ["path", "key"]).unionByName(old_path.join(new_key, ["path", "key"])).distinct()
+        taken = won.add(all_edges.join(both, ["path", "key"]))
+        if taken.isEmpty():
+            return won.rows().select("path", "key", "score", "d_ord", "t_ord")
+        gone = won.rows()
+        at_path = by_path.rows().join(taken.select("key"), "key", "left_semi").select("path").distinct().join(gone.select("path"), "path", "left_anti")
+        at_key = by_key.rows().join(taken.select("path"), "path", "left_semi").select("key").distinct().join(gone.select("key"), "key", "left_anti")
 
 
 def assign_draws(draws: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:

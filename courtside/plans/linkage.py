@@ -414,7 +414,7 @@ SELECT key, ordinal AS t_ord, year, lower(replace(coalesce(city, ''), '#', ''))
   CASE WHEN start IS NOT NULL AND strftime(start, '%m-%d') <> '01-01' THEN month(start) END AS t_month FROM fx_archive_names""", ("fx_archive_names",))
 
 
-@query("score_draws", """
+_SCORES = """
 WITH o AS (
   SELECT a.dt, b.tt, CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE CAST(c AS DOUBLE) / least(na, nb) END AS ov FROM (SELECT DISTINCT dt, (CASE WHEN length(dt[1]) > 3 THEN 1 ELSE 0 END + CASE WHEN length(dt[2]) > 3 THEN 1 ELSE 0 END) AS na FROM fx_part_draws) a
   CROSS JOIN (SELECT DISTINCT tt, (CASE WHEN length(tt[1]) > 3 THEN 1 ELSE 0 END + CASE WHEN length(tt[2]) > 3 THEN 1 ELSE 0 END) AS nb FROM fx_part_t) b
@@ -423,16 +423,38 @@ p AS (SELECT d.d_ord, t.key, CASE WHEN t.tc = '' THEN 0 WHEN contains(t.tc, d.dc
   3 * o.ov AS v, CASE WHEN length(d.dw) > 3 AND contains(t.tn, d.dw) THEN 3 ELSE 0 END AS w,
   CASE WHEN d.month IS NULL OR t.t_month IS NULL THEN 0 ELSE CASE least(abs(d.month - t.t_month), 12 - abs(d.month - t.t_month)) WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE -3 END END AS m
   FROM fx_part_draws d JOIN fx_part_t t ON t.year = d.year JOIN o ON o.dt = d.dt AND o.tt = t.tt)
-SELECT d_ord, key, round(c + v + w + m, 6) AS score FROM p WHERE c + v + w + m >= 3 AND c + v + w > 0""", ("fx_part_draws", "fx_part_t"))
+SELECT d_ord, key, round(c + v + w + m, 6) AS score FROM p WHERE c + v + w + m >= 3 AND c + v + w > 0"""
+
+
+@query("score_draws", _SCORES, ("fx_part_draws", "fx_part_t"))
 def score_draws(fx):
     return ln.score_draws(part_draws(fx), fx.archive_names).select("d_ord", "key", F.round("score", 6).alias("score"))
 
 
-@query("assign_draws")
+#: Best-first assignment by recursion: of the edges left, those that lead both of their ends are taken, with all edges of these ends.
+_ASSIGNED = """
+WITH RECURSIVE edges AS ({edges}),
+g(n, d_ord, key, t_ord, score, taken) AS (
+  SELECT 0, d_ord, key, t_ord, score, false FROM edges JOIN fx_part_t USING (key)
+  UNION ALL
+  SELECT n + 1, d_ord, key, t_ord, score, first_d = t_ord AND first_t = d_ord FROM (
+    SELECT n, d_ord, key, t_ord, score, first_value(t_ord) OVER (PARTITION BY d_ord ORDER BY score DESC, t_ord) AS first_d,
+      first_value(d_ord) OVER (PARTITION BY t_ord ORDER BY score DESC, d_ord) AS first_t
+    FROM (SELECT *, bool_or(taken) OVER (PARTITION BY d_ord) AS d_gone, bool_or(taken) OVER (PARTITION BY t_ord) AS t_gone FROM g)
+    WHERE NOT d_gone AND NOT t_gone)),
+pairs AS (SELECT d_ord, key, score FROM g WHERE taken),
+named AS (SELECT '/' || p_partkey || '/wpt/' || (2000 + p_partkey % 10) || '/' || ['enero', 'febrero', 'marzo', 'x', 'diciembre'][p_partkey % 5 + 1] || '/' ||
+  CASE WHEN p_partkey % 4 = 0 THEN 'ppt' || string_split(p_name, ' ')[2] || (p_partkey % 10) ELSE lower(replace(p_brand, '#', '')) END || '/' AS path,
+  p_partkey AS d_ord, p_name || ' Master' AS name FROM part)
+"""
+_ALL_EDGES = _SCORES.replace(" AND c + v + w > 0", "")
+
+
+@query("assign_draws", _ASSIGNED.format(edges=_ALL_EDGES) + "SELECT path, key, score FROM pairs JOIN named USING (d_ord)", ("fx_part_draws", "fx_part_t"))
 def assign_draws(fx):
     return ln.assign_draws(part_draws(fx), fx.archive_names)[0]
 
 
-@query("unmatched_draws")
+@query("unmatched_draws", _ASSIGNED.format(edges=_ALL_EDGES) + "SELECT path, name FROM named WHERE d_ord NOT IN (SELECT d_ord FROM pairs)", ("fx_part_draws", "fx_part_t"))
 def unmatched_draws(fx):
     return ln.assign_draws(part_draws(fx), fx.archive_names)[1].select("path", "name")

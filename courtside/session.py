@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in reliable storage and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class rounds:
+    """A table of the shared checkpoint folder that an iterative job adds to, a folder a round; nothing is written twice."""
+
+    def __init__(self, spark: SparkSession, name: str, like: DataFrame):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.schema, self.n = spark, like.schema, 0
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes the next round and gives it back."""
+        df.select(*self.schema.names).write.parquet(f"{self.path}/round={self.n}")
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={self.n - 1}")
+
+    def rows(self) -> DataFrame:
+        """The rows of all rounds until now."""
+        done = [f"{self.path}/round={k}" for k in range(self.n)]
+        return self.spark.read.schema(self.schema).parquet(*done) if done else self.spark.createDataFrame([], self.schema)

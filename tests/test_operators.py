@@ -143,6 +143,24 @@ def test_draw_assignment_equals_greedy_over_all_pairs(fx):
     assert free.count() == d.count() - len(got)
 
 
+def test_assignment_rounds_write_no_more_than_the_edges(spark, monkeypatch):
+    """A chain, where each pair taken frees the next one, a hot tournament that many draws want, and random edges."""
+    rnd = random.Random(3)
+    chain = [(f"c{i}", f"k{j}", i, j, 100.0 - i - j) for i in range(30) for j in (i, i + 1)]
+    hot = [(f"h{i}", "hot", 100 + i, 100, 5.0) for i in range(60)]
+    mixed = [(f"r{rnd.randrange(40)}", f"s{rnd.randrange(40)}", 0, 0, float(rnd.randrange(4))) for _ in range(300)]
+    mixed = [(p, k, 200 + int(p[1:]), 200 + int(k[1:]), s) for (p, k), s in {(p, k): s for p, k, _, _, s in mixed}.items()]
+    tables_, rows = [], chain + hot + mixed
+    make = ln.rounds
+    monkeypatch.setattr(ln, "rounds", lambda *a: tables_.append(make(*a)) or tables_[-1])
+    edges = spark.createDataFrame(rows, "path string, key string, d_ord int, t_ord int, score double")
+    got = ln.assign_one_to_one(edges)
+    assert {(r["path"], r["key"]) for r in got.collect()} == greedy([(-s, i, j, p, k) for p, k, i, j, s in rows])
+    edge_rows, by_path, by_key, won = (t.rows().count() for t in tables_)
+    assert edge_rows == len(rows) and by_path <= len(rows) and by_key <= len(rows) and won == got.count()
+    assert ln.assign_one_to_one(edges.limit(0)).collect() == []
+
+
 def test_month_alone_assigns_in_order_beside_shifting_edges(spark):
     rnd = random.Random(11)
     t, d = [], []
