@@ -19,7 +19,7 @@ from courtside.functions.text import (
     PLACEHOLDER, fold, fused_pair, is_round_report, name_key, overlap, pair_from_lines, pair_label, same_pair, slug,
     tokens,
 )
-from courtside.operators.contains import contains_pairs
+from courtside.operators.contains import contains_pairs, rarest_gram
 from courtside.operators.ordered import best_row, ordinal_slice, running
 from courtside.operators.schedule import pair_rows
 from courtside.session import cut, rounds
@@ -540,24 +540,22 @@ def cross_check(rounds: DataFrame, finals: DataFrame) -> DataFrame:
     )
 
 
-def discover_articles(t: DataFrame, articles: DataFrame, before: int = 8, after: int = 18, buckets: int = 16) -> DataFrame:
+def discover_articles(t: DataFrame, articles: DataFrame, before: int = 8, after: int = 18) -> DataFrame:
     """Round reports per tournament: published from `before` days ahead of the start to
     `after` days past it, naming the city, a round and a score. key, article_id.
 
-    Per day the distinct cities with a tournament near it are spread over a few buckets; an
-    article meets each bucket of its day once and is tested against the cities in it, so no
-    row is made for a pair that does not match. The whole text is searched.
+    An index by three letters finds the articles that hold the rarest piece of a city's name; with the day they make the
+    candidates, narrow rows. Reports are stored once. A candidate meets its text by article id, where the whole name is searched once.
     """
-    active = t.where("start is not null").withColumn("city", plain_city(F.col("city"))).where("city <> ''")
+    active = t.where("start is not null").withColumn("needle", fold(plain_city(F.col("city")))).where("needle <> ''")
     days = active.select(
-        "key", "city", F.explode(F.sequence(F.date_add("start", -before), F.date_add("start", after))).alias("date")
+        "key", "needle", F.explode(F.sequence(F.date_add("start", -before), F.date_add("start", after))).alias("date")
     )
-    cities = days.select("date", "city", F.pmod(F.xxhash64("city"), F.lit(buckets)).alias("bucket")).distinct()
-    lists = cities.groupBy("date", "bucket").agg(F.collect_list(F.struct("city", fold(F.col("city")).alias("k"))).alias("cities"))
-    reports = articles.withColumn(
-        "hay", fold(F.concat_ws(" ", "title", "text"))
-    ).where(is_round_report(F.col("title"), F.col("text"), F.lit("")))
-    hits = reports.join(lists, "date").select(
-        "article_id", "date", F.explode(F.filter("cities", lambda c: F.contains(F.col("hay"), c["k"]))).alias("c")
-    ).select("article_id", "date", "c.city")
-    return hits.join(days, ["date", "city"]).select("key", "article_id").distinct()
+    reports = cut(articles.where(is_round_report(F.col("title"), F.col("text"), F.lit(""))).select(
+        "article_id", "date", fold(F.concat_ws(" ", "title", "text")).alias("hay")
+    ))                                            # told apart and folded once, read three times
+    chosen, index = rarest_gram(days.select("needle"), reports)
+    probes = days.select("needle", "date").distinct().join(chosen, "needle")
+    candidates = index.join(probes, ["gram", "date"]).select("article_id", "date", "needle")
+    hits = candidates.join(reports, ["article_id", "date"]).where(F.contains("hay", F.col("needle"))).select("article_id", "date", "needle")
+    return hits.join(days, ["date", "needle"]).select("key", "article_id").distinct()

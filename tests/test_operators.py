@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from check import oracle_connection
 from courtside.functions import lookups as lk
+from courtside.functions.text import fold, is_round_report
 from courtside.operators import alerts as al, archive as ar, contains as ct, feed as fd, filters as fl, history as h, linkage as ln, ordered as od, schedule as sch
 from courtside.plans import ORACLES
 from courtside.plans.fixtures import Fixtures, today
@@ -143,6 +144,23 @@ def test_draw_assignment_equals_greedy_over_all_pairs(fx):
     assert free.count() == d.count() - len(got)
 
 
+def test_articles_are_found_by_the_rarest_piece_of_a_city(spark):
+    """Short names, names inside words, accents, repeated ids and a city that no text holds, against a loop over all pairs."""
+    rnd = random.Random(5)
+    towns = ["Ávila", "Y", "Nu", "Lima", "San Juan", "anan", "Zzz", None, " "]
+    t = [(f"t{i}", rnd.choice(towns), f"2015-03-{rnd.randint(1, 28):02d}" if i % 9 else None) for i in range(40)]
+    words = ["avila", "AVILA", "x", "y", "nu", "numa", "lima", "Limas", "san", "juan", "San Juan", "banana", "6-4", "2/6", "final"]
+    a = [(rnd.randrange(90), f"2015-03-{rnd.randint(1, 28):02d}", rnd.choice(["finale", "master", "x"]), " ".join(rnd.choice(words) for _ in range(rnd.randrange(12)))) for _ in range(120)]
+    tdf = spark.createDataFrame(t, "key string, city string, s string").select("key", "city", F.to_date("s").alias("start"))
+    adf = spark.createDataFrame(a, "article_id long, d string, title string, text string").select("article_id", F.to_date("d").alias("date"), "title", "text")
+    reports = {(r["article_id"], str(r["date"]), r["hay"]) for r in adf.where(is_round_report(F.col("title"), F.col("text"), F.lit(""))).select("article_id", "date", fold(F.concat_ws(" ", "title", "text")).alias("hay")).collect()}
+    cities = {(r["key"], str(r["start"]), r["k"]) for r in tdf.where("start is not null and trim(city) <> ''").select("key", "start", fold("city").alias("k")).collect()}
+    want = {(k, i) for k, start, city in cities for i, date, hay in reports if city in hay and -8 <= int(date[8:]) - int(start[8:]) <= 18}
+    found = ln.discover_articles(tdf, adf)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 50
+    assert ln.discover_articles(tdf.limit(0), adf).count() == 0 and ln.discover_articles(tdf, adf.limit(0)).count() == 0
+
+
 def test_assignment_rounds_write_no_more_than_the_edges(spark, monkeypatch):
     """A chain, where each pair taken frees the next one, a hot tournament that many draws want, and random edges."""
     rnd = random.Random(3)
