@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from courtside.functions import lookups as lk
-from courtside.functions.labels import region_label
+from courtside.functions.labels import region_label, status_order
 from courtside.functions.text import surname
 from courtside.operators.contains import contains_pairs
 from courtside.operators.feed import tournament_key
 from courtside.operators.ordered import first_rows, last_known, time_slice
+from courtside.operators.skew import grid_join
 from courtside.schema import FOLLOWS
+from courtside.session import cut
 
 
 # --- transitions -----------------------------------------------------------------------
@@ -84,22 +86,35 @@ def follow_rows(subs: DataFrame) -> DataFrame:
 
 
 def match_follows(m: DataFrame, follows: DataFrame, least: int = 3) -> DataFrame:
-    """(endpoint, id) for every match a subscriber cares about: tournament followed, or the
+    """(endpoint, ordinal, id) for every match a subscriber cares about: tournament followed, or the
     surname of a followed player inside a team name. Surnames under `least` letters are not
     searched, as they stand inside many other names; 1 searches them all.
 
-    Surnames and team names are reduced to distinct texts before they meet.
+    Surnames and team names are reduced to distinct texts before they meet. A surname that many follow and
+    that stands in many matches, a great tournament and a team of many matches are spread over tasks (`skew.grid_join`).
     """
-    ids = m.select("id", tournament_key().alias("key")).distinct()
-    by_t = follows.where("kind = 'tournament'").select("endpoint", "key").join(ids, "key").select("endpoint", "id")
+    at = ["ordinal", "id"]
+    ids = m.select(*at, tournament_key().alias("key")).distinct()
+    by_t = grid_join(follows.where("kind = 'tournament'").select("endpoint", "key"), ids, "key", "endpoint", "id")
     who = follows.where("kind = 'player'").select("endpoint", surname(F.col("name")).alias("needle")).where(
         F.length("needle") >= least
     ).distinct()
-    teams = m.select("id", F.explode("teams").alias("t")).select("id", F.lower("t.name").alias("hay")).distinct()
+    teams = m.select(*at, F.explode("teams").alias("t")).select(*at, F.lower("t.name").alias("hay")).distinct()
     pairs = contains_pairs(who.select("needle"), teams.select("hay"))
-    named = teams.join(pairs, "hay").select("id", "needle").distinct()
-    by_p = who.join(named, "needle").select("endpoint", "id")
-    return by_t.unionByName(by_p).distinct()
+    named = cut(grid_join(teams, pairs, "hay", "id").select("needle", *at).distinct())
+    by_p = grid_join(who, named, "needle", "endpoint", "id")
+    return by_t.select("endpoint", *at).unionByName(by_p.select("endpoint", *at)).distinct()
+
+
+def followed_open(m: DataFrame, follows: DataFrame, shown: int | None = None) -> DataFrame:
+    """(endpoint, rn, id, status): matches of each subscriber's follows that are not over, live ones first, then in order.
+
+    A match counts if its tournament or a player is followed (`match_follows`). `shown` keeps the first of each
+    subscriber's list, as a page does; None keeps all.
+    """
+    open_ = m.where(F.col("status") != lk.FINAL)
+    hits = match_follows(open_, follows).join(open_.select("id", "status"), "id")
+    return first_rows(hits, ["endpoint"], [status_order(F.col("status")), F.col("ordinal"), F.col("id")], shown).select("endpoint", "rn", "id", "status")
 
 
 def teams_line(teams: Column, sep: str = " vs ") -> Column:
@@ -113,8 +128,8 @@ def _not_blank(c: Column) -> Column:
 def notifications(m: DataFrame, follows: DataFrame, kind: str = "live", listed: int = 5) -> DataFrame:
     """One message per subscriber with a match: endpoint, n, title, body.
 
-    A single match is described, several are listed by their first five team lines. The
-    lines are cut to five per subscriber before they are gathered.
+    A single match is described, several are listed by their first five team lines. Hits are found and shuffled
+    once: their number and the first five both come from the same distinct rows, and texts join those five only.
     """
     when = F.coalesce(F.concat(F.lit("~"), _not_blank(F.col("est_start"))), F.lit("soon"))
     line = teams_line(F.col("teams"))
@@ -124,11 +139,11 @@ def notifications(m: DataFrame, follows: DataFrame, kind: str = "live", listed:
     else:
         one = ("⏱ Starting soon: ", F.concat_ws(" · ", _not_blank(F.col("tournament.name")), _not_blank(F.col("court")), when))
         many, text = (F.lit("⏱ "), F.lit(" of your follows start soon")), F.concat(line, F.lit(" ("), when, F.lit(")"))
-    lines = m.select("id", "ordinal", line.alias("line"), one[1].alias("detail"), text.alias("text"))
+    lines = m.select("id", line.alias("line"), one[1].alias("detail"), text.alias("text"))
     hits = match_follows(m, follows)
     counts = hits.groupBy("endpoint").agg(F.count("*").alias("n"))
-    top = first_rows(hits.join(lines, "id"), ["endpoint"], [F.col("ordinal"), F.col("id")], listed)
-    msg = top.groupBy("endpoint").agg(
+    top = first_rows(hits, ["endpoint"], [F.col("ordinal"), F.col("id")], listed)
+    msg = top.join(lines, "id").groupBy("endpoint").agg(
         F.sort_array(F.collect_list(F.struct("rn", "text"))).alias("ls"),
         F.min_by("line", "rn").alias("line"), F.min_by("detail", "rn").alias("detail"),
     )
@@ -142,10 +157,18 @@ def notifications(m: DataFrame, follows: DataFrame, kind: str = "live", listed:
     )
 
 
-def digest(m: DataFrame, heading: str, by: list[str], listed: int = 8, footer: str = "") -> DataFrame:
-    """One text per group (snapshot): the first eight matches and how many more there are."""
-    where = F.concat_ws(" · ", _not_blank(F.col("tournament.name")), _not_blank(F.col("round")), _not_blank(F.col("court")))
-    line = F.concat(region_label(F.col("federation")), F.lit(": "), teams_line(F.col("teams"), "  vs  "), F.lit("\n"), where)
+def digest(m: DataFrame, heading: str, by: list[str], listed: int = 8, footer: str = "", kind: str = "live") -> DataFrame:
+    """One text per group (snapshot): the first eight matches and how many more there are.
+
+    A live match is told with where it is played, one that starts soon with its estimate as well (or "soon").
+    """
+    name, court = _not_blank(F.col("tournament.name")), _not_blank(F.col("court"))
+    if kind == "live":
+        head, place = F.lit(": "), [name, _not_blank(F.col("round")), court]
+    else:
+        when = F.coalesce(F.concat(F.lit("~"), _not_blank(F.col("est_start"))), F.lit("soon"))
+        head, place = F.concat(F.lit(" ("), when, F.lit("): ")), [court, _not_blank(F.col("round")), name]
+    line = F.concat(region_label(F.col("federation")), head, teams_line(F.col("teams"), "  vs  "), F.lit("\n"), F.concat_ws(" · ", *place))
     rows = m.withColumn("_line", line)
     n = rows.groupBy(*by).agg(F.count("*").alias("n"))
     top = first_rows(rows.select(*by, "ordinal", "id", "_line"), by, [F.col("ordinal"), F.col("id")], listed)

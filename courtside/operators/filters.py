@@ -93,11 +93,6 @@ def filter_archive(index: DataFrame, skip: str = "", **axes) -> DataFrame:
     return index.where(all_axes(archive_axes(**axes), skip))
 
 
-def followed_open(m: DataFrame) -> DataFrame:
-    """Matches that are not over, live ones first."""
-    return m.where(F.col("status") != lk.FINAL).orderBy(status_order(F.col("status")), "ordinal")
-
-
 def recent_or_future(events: DataFrame, today: Column, days: int = 3) -> DataFrame:
     return events.where(F.coalesce("end", "start") >= F.date_add(today, -days))
 

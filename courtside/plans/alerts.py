@@ -82,22 +82,31 @@ WHERE c.c_custkey % 50 <> 49
 UNION
 SELECT c.c_custkey, t.id, t.ordinal FROM customer c CROSS JOIN (SELECT count(*) AS n FROM supplier)
 JOIN (SELECT DISTINCT s AS needle, id, ordinal FROM (SELECT DISTINCT 'p' || s_suppkey AS s FROM supplier)
-      JOIN fx_feed ON contains(lower(p0 || ' / ' || p1), s) OR contains(lower(p2 || ' / ' || p3), s)
-      WHERE fx_feed.status = 'live') t ON t.needle = 'p' || (c.c_custkey % n)
+      JOIN fx_feed ON contains(lower(p0 || ' / ' || p1), s) OR contains(lower(p2 || ' / ' || p3), s)) t ON t.needle = 'p' || (c.c_custkey % n)
 WHERE c.c_custkey % 50 <> 49 AND length(t.needle) >= 3""", ("fx_feed",))
-cte("fx_live_feed", "SELECT * FROM fx_feed WHERE status = 'live'", ("fx_feed",))
 
 
-def alert_matches(fx):
-    return fx.feed.where(F.col("status") == "live")
+def of_status(fx, status: str):
+    return fx.feed.where(F.col("status") == status)
 
 
-_HITS = "(SELECT h.* FROM fx_follow_hits h JOIN fx_live_feed l ON l.id = h.id)"
+@query("match_follows", "SELECT endpoint, id FROM fx_follow_hits", ("fx_follow_hits",))
+def match_follows(fx):
+    return a.match_follows(fx.feed, a.follow_rows(fx.subscriptions)).select("endpoint", "id")
 
 
-@query("match_follows", f"SELECT endpoint, id FROM {_HITS}", ("fx_follow_hits", "fx_live_feed"))
-def match_follows(fx):
-    return a.match_follows(alert_matches(fx), a.follow_rows(fx.subscriptions))
+_OPEN = """SELECT endpoint, id, status, row_number() OVER (PARTITION BY endpoint ORDER BY CASE status WHEN 'live' THEN 0 ELSE 1 END, h.ordinal, id) AS rn
+FROM fx_follow_hits h JOIN fx_feed USING (id) WHERE status <> 'final'"""
+
+
+@query("followed_open", _OPEN, ("fx_follow_hits", "fx_feed"))
+def followed_open(fx):
+    return a.followed_open(fx.feed, a.follow_rows(fx.subscriptions)).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query("followed_open_first", f"SELECT * FROM ({_OPEN}) WHERE rn <= 40", ("fx_follow_hits", "fx_feed"))
+def followed_open_first(fx):
+    return a.followed_open(fx.feed, a.follow_rows(fx.subscriptions), shown=40).withColumn("rn", F.col("rn").cast("long"))
 
 
 @query("follow_rows", """
@@ -110,26 +119,26 @@ def follow_rows(fx):
 _TEAMS = "l.p0 || ' / ' || l.p1 || ' vs ' || l.p2 || ' / ' || l.p3"
 
 
-def _messages(one, many, detail, text):
+def _messages(status, one, many, detail, text):
     return f"""
 SELECT endpoint, n, CASE WHEN n = 1 THEN '{one}' || line ELSE '{many[0]}' || n || '{many[1]}' END AS title, CASE WHEN n = 1 THEN detail ELSE body END AS body FROM (
   SELECT endpoint, count(*) AS n, min(line) FILTER (rn = 1) AS line, min(detail) FILTER (rn = 1) AS detail, string_agg(txt, chr(10) ORDER BY rn) FILTER (rn <= 5) AS body FROM (
     SELECT endpoint, {_TEAMS} AS line, {detail} AS detail, {text} AS txt, row_number() OVER (PARTITION BY endpoint ORDER BY h.ordinal, h.id) AS rn
-    FROM {_HITS} h JOIN fx_live_feed l ON l.id = h.id) GROUP BY 1)"""
+    FROM fx_follow_hits h JOIN fx_feed l ON l.id = h.id WHERE l.status = '{status}') GROUP BY 1)"""
 
 
-@query("live_notifications", _messages("🔴 Live: ", ("🔴 ", " of your follows are live"), "l.tname || ' · ' || l.round", _TEAMS), ("fx_follow_hits", "fx_live_feed"))
+@query("live_notifications", _messages("live", "🔴 Live: ", ("🔴 ", " of your follows are live"), "l.tname || ' · ' || l.round", _TEAMS), ("fx_follow_hits", "fx_feed"))
 def live_notifications(fx):
-    return a.notifications(alert_matches(fx), a.follow_rows(fx.subscriptions), "live")
+    return a.notifications(of_status(fx, "live"), a.follow_rows(fx.subscriptions), "live")
 
 
 _WHEN = "coalesce('~' || l.est_start, 'soon')"
 
 
 @query("soon_notifications", _messages(
-    "⏱ Starting soon: ", ("⏱ ", " of your follows start soon"), f"l.tname || ' · ' || l.court || ' · ' || {_WHEN}", f"{_TEAMS} || ' (' || {_WHEN} || ')'"), ("fx_follow_hits", "fx_live_feed"))
+    "upcoming", "⏱ Starting soon: ", ("⏱ ", " of your follows start soon"), f"l.tname || ' · ' || l.court || ' · ' || {_WHEN}", f"{_TEAMS} || ' (' || {_WHEN} || ')'"), ("fx_follow_hits", "fx_feed"))
 def soon_notifications(fx):
-    return a.notifications(alert_matches(fx), a.follow_rows(fx.subscriptions), "soon")
+    return a.notifications(of_status(fx, "upcoming"), a.follow_rows(fx.subscriptions), "soon")
 
 
 @query("alert_digest", """
@@ -141,6 +150,18 @@ def alert_digest(fx):
     return a.digest(fx.feed, "now live", ["status"])
 
 
+_REGION = "CASE WHEN federation = 'FIP' THEN 'FIP International' ELSE federation END"
+
+
+@query("soon_digest", f"""
+SELECT source, n, 'starting soon (' || n || ')' || chr(10) || chr(10) || body || CASE WHEN n > 8 THEN chr(10) || chr(10) || '…and ' || (n - 8) || ' more' ELSE '' END AS text FROM (
+  SELECT source, count(*) AS n, string_agg(line, chr(10) || chr(10) ORDER BY rn) FILTER (rn <= 8) AS body FROM (
+    SELECT source, {_REGION} || ' (' || coalesce('~' || est_start, 'soon') || '): ' || p0 || ' / ' || p1 || '  vs  ' || p2 || ' / ' || p3 || chr(10) || court || ' · ' || round || ' · ' || tname AS line,
+      row_number() OVER (PARTITION BY source ORDER BY ordinal, id) AS rn FROM fx_feed WHERE status = 'upcoming') GROUP BY 1)""", ("fx_feed",))
+def soon_digest(fx):
+    return a.digest(of_status(fx, "upcoming"), "starting soon", ["source"], kind="soon")
+
+
 @query("surname_and_follow_key", """
 SELECT s_suppkey AS id, lower(s_name) AS surname, CASE WHEN s_suppkey % 3 = 0 THEN 'n:' || s_name WHEN s_suppkey % 3 = 1 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS follow FROM supplier""")
 def surname_and_follow_key(fx):

@@ -140,12 +140,6 @@ def day_strip(fx):
     return f.day_strip(fx.feed, today(), status="upcoming").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("followed_open", """
-SELECT id, status FROM fx_feed WHERE status <> 'final' ORDER BY CASE status WHEN 'live' THEN 0 ELSE 1 END, ordinal""", FEED)
-def followed_open(fx):
-    return fl.followed_open(fx.feed).select("id", "status")
-
-
 # --- overview -----------------------------------------------------------------------------------------
 _TIER = "CASE word WHEN 'Major' THEN 100 WHEN 'P1' THEN 90 WHEN 'P2' THEN 80 WHEN 'Gold' THEN 70 WHEN 'Silver' THEN 60 WHEN 'Bronze' THEN 50 ELSE 0 END"
 _KO = "base_round IN ('Final','Semifinals','Quarterfinals','Round of 16')"
