@@ -10,7 +10,6 @@ from courtside.operators import history as h, normalise as nm
 from courtside.plans.fixtures import pick, today
 from courtside.plans.registry import cte, query
 from courtside.plans.streams import work
-from courtside.schema import API_PAYLOAD, ARCHIVE_FILE
 from courtside.sources import archive as ar, export as ex, landed as ld, pages as pg, tables as tb
 
 d = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
@@ -41,8 +40,7 @@ def archive_docs(fx):
         F.lit("2020-01-02").alias("end"), F.lit("rin").alias("source"), F.transform("ms", lambda x: x["m"]).alias("matches"),
     )
     path = write_json(fx, docs, "archive")
-    # one document per line here; the archive itself has one file per document
-    return fx.spark.read.schema(ARCHIVE_FILE).json(path)
+    return ar.read_archive(fx.spark, path, multi_line=False)
 
 
 @query("archive_scan_tournaments", "SELECT 'rin-' || tid AS key, min(tname) AS name, count(*) AS n, '2020-01-01' AS start FROM fx_feed GROUP BY 1", FEED)
@@ -77,7 +75,7 @@ def api_raw(fx):
         "event_id", F.transform("ms", lambda x: x["m"]).alias("Matches")
     )
     path = write_json(fx, payloads, "payloads")
-    return ld.api_matches(fx.spark.read.schema(API_PAYLOAD).json(path))
+    return ld.api_matches(ld.read_api_payloads(fx.spark, path, multi_line=False))
 
 
 def api_events(fx):
@@ -188,6 +186,53 @@ def organiser_pairs(fx):
         "id", F.nullif("t", F.lit("")).alias("organiser"))
 
 
+# --- files of lists ------------------------------------------------------------------------------
+def list_files(fx, rows, key, name: str) -> str:
+    """A file for 25 keys, each a JSON list; every fifth is cut short, every seventh is an object."""
+    page = F.floor(key / 25)
+    text = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), rows.alias("r")))), lambda x: x["r"]))
+    files = fx.table("customer").groupBy(page.alias("page")).agg(text.alias("t"))
+    bad = F.when(F.col("page") % 5 == 3, F.expr("substring(t, 1, length(t) - 9)")).when(F.col("page") % 7 == 4, F.lit('{"error": "none"}'))
+    path = os.path.join(work(fx), name)
+    files.select("page", F.coalesce(bad, "t").alias("value")).repartition("page").write.partitionBy("page").text(path)
+    return path
+
+
+_PAGE = "(c_custkey // 25)"
+_GOOD_PAGE = f"{_PAGE} % 5 <> 3 AND {_PAGE} % 7 <> 4"
+page_of = lambda: F.regexp_extract("file", r"page=(\d+)", 1).cast("long").alias("page")
+
+
+@query("final_rows", f"""
+SELECT {_PAGE} AS page, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS tournament, 'Score ' || c_custkey AS score, CASE WHEN c_custkey % 4 <> 0 THEN 'P' || c_custkey END AS winner
+FROM customer WHERE {_GOOD_PAGE} AND (c_custkey % 3 <> 0 OR c_custkey % 4 <> 0)""")
+def final_rows(fx):
+    ck = F.col("c_custkey")
+    row = F.struct(
+        F.when(ck % 3 != 0, F.col("c_name")).alias("tournament"), F.concat(F.lit("Score "), s(ck)).alias("score"),
+        F.when(ck % 4 != 0, F.struct(F.concat(F.lit("P"), s(ck)).alias("name"))).alias("winner_player"),
+    )
+    rows = ld.read_final_rows(fx.spark, list_files(fx, row, ck, "finals"))
+    return rows.select(page_of(), "tournament", "score", F.col("winner_player.name").alias("winner"))
+
+
+def parts(fx):
+    ck = F.col("c_custkey")
+    names = lambda x, y: F.array(F.concat(F.lit(x), s(ck)), F.lit(y))
+    row = F.struct(F.concat(F.lit("k"), s(ck)).alias("key"), F.lit("Final").alias("round"), names("A", "B").alias("winners"), names("C", "D").alias("losers"))
+    return ld.read_parts(fx.spark, list_files(fx, row, ck, "parts"))
+
+
+@query("part_rows", f"SELECT {_PAGE} AS page, 'k' || c_custkey AS key, 'A' || c_custkey || '/B' AS winners, CAST(rank() OVER (PARTITION BY {_PAGE} ORDER BY c_custkey) - 1 AS BIGINT) AS ordinal FROM customer WHERE {_GOOD_PAGE}")
+def part_rows(fx):
+    return parts(fx)[0].select(page_of(), "key", F.concat_ws("/", "winners").alias("winners"), long("ordinal"))
+
+
+@query("part_problems", f"SELECT DISTINCT {_PAGE} AS page, CASE WHEN {_PAGE} % 5 = 3 THEN 'no JSON' ELSE 'no list' END AS problem FROM customer WHERE NOT ({_GOOD_PAGE})")
+def part_problems(fx):
+    return parts(fx)[1].select(page_of(), "problem")
+
+
 # --- tables in pages -----------------------------------------------------------------------------
 _COUNTRIES = ("Spain", "Qatar", "Atlantis")
 
@@ -284,11 +329,25 @@ def preferred_copy(fx):
     return tb.freshest(copies(fx), prefer="d1")
 
 
-@query("snapshot_publish", "SELECT '2024-01-01' AS date, 'daily' AS producer, count(*) AS count FROM fx_feed", FEED)
+def snapshots(fx) -> str:
+    """Two snapshots of the feed; the second is published twice."""
+    path, feed = work(fx), fx.feed.drop("day")
+    tb.write_snapshot(feed, "2024-01-01T10:00:00", path, "daily")
+    tb.write_snapshot(feed.limit(1), "2024-01-02T10:00:00", path, "live")
+    tb.write_snapshot(feed.where("status <> 'final'"), "2024-01-02T10:00:00", path, "live")
+    return path
+
+
+@query("snapshot_publish", """
+SELECT '2024-01-01' AS date, 'daily' AS producer, count(*) AS count FROM fx_feed
+UNION ALL SELECT '2024-01-02', 'live', count(*) FROM fx_feed WHERE status <> 'final'""", FEED)
 def snapshot_publish(fx):
-    path = work(fx)
-    tb.write_snapshot(fx.feed.drop("day"), "2024-01-01T10:00:00", path, "daily")
-    return fx.spark.read.parquet(f"{path}/summary").select("date", "producer", "count")
+    return tb.snapshot_summary(fx.spark, snapshots(fx)).select("date", "producer", "count")
+
+
+@query("snapshot_rows", "SELECT id, status, p0 || ' / ' || p1 AS team_a, '2024-01-02T10:00:00' AS snapshot_at FROM fx_feed WHERE status <> 'final'", FEED)
+def snapshot_rows(fx):
+    return tb.read_snapshot(fx.spark, snapshots(fx), "2024-01-02T10:00:00").select("id", "status", F.col("teams")[0]["name"].alias("team_a"), "snapshot_at")
 
 
 @query("replace_slice", """
@@ -309,11 +368,16 @@ def bronze_replay(fx):
     return ld.replay_bronze(fx.spark, path).groupBy("year").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("guarded_overwrite", "SELECT count(*) AS n FROM orders")
+@query("guarded_overwrite", "SELECT o_orderkey AS id, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def guarded_overwrite(fx):
-    path = work(fx) + "/published"
-    tb.guarded_overwrite(fx.table("orders"), path)
-    return fx.spark.read.parquet(path).agg(F.count("*").alias("n"))
+    """The last version with enough rows: the one after it is refused."""
+    path, orders = work(fx) + "/published", fx.table("orders")
+    for version in orders.where("o_orderstatus <> 'F'"), orders, orders.where("o_orderkey < 0"):
+        try:
+            tb.guarded_overwrite(version, path)
+        except tb.GuardFailed:
+            continue
+    return tb.published(fx.spark, path).select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 # --- exports -------------------------------------------------------------------------------------------

@@ -40,11 +40,11 @@ FINAL_ROW = (
     "circuit string, year string, tournament string, city string, country struct<name:string>,"
     "final_date string, gender string, score string,"
     f"winner_player {FINAL_PLAYER}, winner_partner {FINAL_PLAYER},"
-    f"finalist {FINAL_PLAYER}, finalist_partner {FINAL_PLAYER}, _corrupt_record string"
+    f"finalist {FINAL_PLAYER}, finalist_partner {FINAL_PLAYER}"
 )
 EXTRACTED_ROUND = (
     "`key` string, gender string, round string, winners array<string>, losers array<string>,"
-    "score string, confidence string, _corrupt_record string"
+    "score string, confidence string"
 )
 FOLLOWS = (
     "players map<string,struct<name:string>>, tournaments map<string,struct<name:string>>"

@@ -8,10 +8,10 @@ from courtside.functions.labels import circuit
 from courtside.schema import ARCHIVE_FILE
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Raw archive documents with an explicit schema; unreadable ones keep `_corrupt_record`."""
+def read_archive(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Raw archive documents with an explicit schema, one a file or a line; unreadable ones keep `_corrupt_record`."""
     return (
-        spark.read.schema(ARCHIVE_FILE).option("mode", "PERMISSIVE").option("multiLine", True)
+        spark.read.schema(ARCHIVE_FILE).option("mode", "PERMISSIVE").option("multiLine", multi_line)
         .json(path).withColumn("file", F.input_file_name())
     )
 

@@ -2,32 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from courtside.functions import lookups as lk
+from courtside.operators.ordered import best_row
 
 
 class GuardFailed(RuntimeError):
     """A write was refused because its check did not hold."""
 
 
-def write_snapshot(matches: DataFrame, snapshot_at: str, path: str, producer: str | None = None) -> None:
-    """Publish a whole feed under its own snapshot folder and append one summary row."""
-    spark = matches.sparkSession
-    rows = matches.withColumn("snapshot_at", F.lit(snapshot_at)).withColumn("producer", F.lit(producer))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_at").parquet(
-        f"{path}/matches"
-    )
-    stored = spark.read.parquet(f"{path}/matches").where(F.col("snapshot_at").cast("string") == snapshot_at)
-    snapshot_summary(stored, snapshot_at, producer).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("snapshot_at").parquet(f"{path}/summary")
+# --- published tables -------------------------------------------------------------------------
+#
+# path/data/<id>/      the rows of one version, never written again
+# path/manifest/       one row a published version; a version that is not listed does not exist for readers
+
+MANIFEST = "label string, number long, folder string, rows long, producer string"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """All versions published below `path`: label, number, folder, rows, producer. None yet: no rows."""
+    spot = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    known = spot.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spot)
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest") if known else spark.createDataFrame([], MANIFEST)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest row of each label that counts: its last one."""
+    return best_row(manifest(spark, path), ["label"], [F.col("number"), F.col("folder")])
+
+
+def publish(df: DataFrame, path: str, label: str = "", producer: str | None = None, min_rows: int = 0) -> int:
+    """Write `df` as a new version of the table `label` below `path` and give back its number of rows.
+
+    Rows go to a folder of their own, are counted there (`df` is computed once), and only then is the version listed by
+    one row in one new file of the manifest, which appears whole or not at all. A write that fails half-way, or that has
+    fewer than `min_rows` rows (GuardFailed, its folder goes), leaves the version before it as it was.
+    """
+    spark, folder = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{folder}")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/data/{folder}").count()
+    if rows < min_rows:
+        for spot in (f"{path}/data/{folder}", f"{path}/data", path):
+            _delete(spark, spot, only_empty=not spot.endswith(folder))
+        raise GuardFailed(f"{rows} rows, fewer than {min_rows}: not published")
+    last = manifest(spark, path).where(F.col("label") == label).agg(F.max("number")).first()[0]
+    entry = spark.createDataFrame([(label, (last or 0) + 1, folder, rows, producer)], MANIFEST)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return rows
+
+
+def published(spark: SparkSession, path: str, label: str = "") -> DataFrame:
+    """Rows of the version of `label` that counts now."""
+    row = current(spark, path).where(F.col("label") == label).first()
+    if row is None:
+        raise FileNotFoundError(f"nothing was published as {label!r} below {path}")
+    return spark.read.parquet(f"{path}/data/{row['folder']}")
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete the rows of all but the last `keep` versions of each label; readers of those may still be at work.
+
+    The manifest keeps its rows. Folders that it does not list, those of failed writes and of writes under way, stay.
+    """
+    w = Window.partitionBy("label").orderBy(F.desc("number"), F.desc("folder"))
+    old = manifest(spark, path).withColumn("rn", F.row_number().over(w)).where(F.col("rn") > keep)
+    for row in old.select("folder").toLocalIterator():
+        _delete(spark, f"{path}/data/{row['folder']}")
+
+
+def _delete(spark: SparkSession, folder: str, only_empty: bool = False) -> None:
+    spot = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = spot.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not only_empty or not fs.listStatus(spot):
+        fs.delete(spot, True)
+
+
+def write_snapshot(matches: DataFrame, snapshot_at: str, path: str, producer: str | None = None) -> int:
+    """Publish a whole feed as the version of its snapshot; again for the same snapshot replaces it at once."""
+    rows = matches.withColumn("snapshot_at", F.lit(snapshot_at)).withColumn("producer", F.lit(producer).cast("string"))
+    return publish(rows, path, snapshot_at, producer)
+
+
+def read_snapshot(spark: SparkSession, path: str, snapshot_at: str) -> DataFrame:
+    return published(spark, path, snapshot_at)
 
 
-def snapshot_summary(matches: DataFrame, snapshot_at: str, producer: str | None = None) -> DataFrame:
-    return matches.agg(F.count("*").alias("count")).select(
-        F.lit(snapshot_at).alias("snapshot_at"), F.substring(F.lit(snapshot_at), 1, 10).alias("date"),
-        F.lit(producer).cast("string").alias("producer"), "count",
+def snapshot_summary(spark: SparkSession, path: str) -> DataFrame:
+    """One row a snapshot: snapshot_at, date, producer, count. It is read from the manifest, no rows are counted again."""
+    return current(spark, path).select(
+        F.col("label").alias("snapshot_at"), F.substring("label", 1, 10).alias("date"), "producer", F.col("rows").alias("count")
     )
 
 
@@ -94,10 +160,9 @@ def require(check: DataFrame, rule: Column, message: str) -> None:
         raise GuardFailed(message)
 
 
-def guarded_overwrite(df: DataFrame, path: str, min_rows: int = lk.MIN_CALENDAR_EVENTS) -> None:
-    """Overwrite a table only when the new content has enough rows."""
-    require(df.agg(F.count("*").alias("n")), F.col("n") >= min_rows, f"fewer than {min_rows} rows: not published")
-    df.write.mode("overwrite").parquet(path)
+def guarded_overwrite(df: DataFrame, path: str, min_rows: int = lk.MIN_CALENDAR_EVENTS) -> int:
+    """Replace a published table only when the new content has enough rows (`publish`); read it with `published`."""
+    return publish(df, path, min_rows=min_rows)
 
 
 def replace_slice(old: DataFrame, new: DataFrame, in_slice: Column) -> DataFrame:
