@@ -104,6 +104,7 @@ MISS_TTL_DAYS = 7
 MIN_CALENDAR_EVENTS = 5
 MIN_AGREEMENT = 0.7
 FINAL_LINK_MIN, DRAW_LINK_MIN = 2.5, 3.0
+HEADER_CHARS = 24
 POINTS_LIFE_DAYS, AT_RISK_DAYS = 364, 56
 LOOKBACK_DAYS, LOOKAHEAD_DAYS = 9, 21
 

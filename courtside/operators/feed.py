@@ -194,8 +194,8 @@ def match_order() -> list[Column]:
     return [status_order(F.col("status")), minute.asc_nulls_last(), F.col("ordinal")]
 
 
-def group_matches(m: DataFrame, k: int = 20) -> DataFrame:
-    """The first k matches of every tournament group in display order."""
+def group_matches(m: DataFrame, k: int | None = 20) -> DataFrame:
+    """The first k matches of every tournament group in display order, all of them if k is None."""
     return first_rows(m.withColumn("key", tournament_key()), ["key"], match_order(), k)
 
 

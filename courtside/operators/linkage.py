@@ -410,14 +410,16 @@ def assign_draws(draws: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- rounds from draws ----------------------------------------------------------------------------
 
-def classify_cells(cells: DataFrame) -> DataFrame:
+def classify_cells(cells: DataFrame, header_chars: int | None = lk.HEADER_CHARS) -> DataFrame:
     """Cells below a draw's header with their kind (name / score), round and players.
 
-    The header is the first row that names at least three rounds. path, gender, r, c,
+    The header is the first row that names at least three rounds. A text of more than `header_chars` characters is prose
+    that mentions a round and no header; None lets every text be one that the round rule accepts. path, gender, r, c,
     kind, round, label, players, score_text.
     """
     by = ["path", "gender"]
-    heads = cells.where("text <> '' and length(text) <= 24").withColumn("round", draw_round(F.col("text"))).where("round is not null")
+    short = F.lit(True) if header_chars is None else F.length("text") <= header_chars
+    heads = cells.where((F.col("text") != "") & short).withColumn("round", draw_round(F.col("text"))).where("round is not null")
     rows = heads.groupBy(*by, "r").agg(F.countDistinct("c").alias("n")).where("n >= 3")
     top = rows.groupBy(*by).agg(F.min("r").alias("r"))
     columns = heads.join(top, [*by, "r"]).select(*by, "c", "round")

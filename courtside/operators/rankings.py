@@ -20,8 +20,8 @@ def flatten_ranks(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return rows.where("id is not null").groupBy(*by).agg(F.max_by("rank", "ordinal").alias("rank"))
 
 
-def page(rows: DataFrame, take: int = 250) -> DataFrame:
-    """The first rows of every list, as a source delivers them."""
+def page(rows: DataFrame, take: int | None = 250) -> DataFrame:
+    """The first rows of every list, as a source delivers them; whole lists if `take` is None."""
     return first_rows(rows, LIST, [F.col("ordinal")], take)
 
 
@@ -119,6 +119,6 @@ def points_at_risk(awards: DataFrame, now: Column, days: int = lk.AT_RISK_DAYS)
     )
 
 
-def list_rows(rows: DataFrame, k: int = 250) -> DataFrame:
-    """Shown part of every list in list order."""
+def list_rows(rows: DataFrame, k: int | None = 250) -> DataFrame:
+    """Shown part of every list in list order; whole lists if k is None."""
     return first_rows(rows, LIST, [F.col("ordinal")], k)

@@ -216,10 +216,17 @@ _MINUTE = """CASE WHEN status <> 'upcoming' THEN 0
   WHEN schedule LIKE 'Not%' THEN 900 WHEN schedule LIKE 'Starting%' THEN 600 END"""
 
 
-@query("group_matches", f"""
-SELECT key, id, rn FROM (
-  SELECT source || ':' || tid AS key, id, row_number() OVER (PARTITION BY source, tid ORDER BY CASE status WHEN 'live' THEN 0 WHEN 'upcoming' THEN 1 ELSE 2 END,
-    {_MINUTE} NULLS LAST, ordinal) AS rn FROM fx_feed) WHERE rn <= 20""", FEED)
+_GROUPS = f"""
+SELECT source || ':' || tid AS key, id, row_number() OVER (PARTITION BY source, tid ORDER BY CASE status WHEN 'live' THEN 0 WHEN 'upcoming' THEN 1 ELSE 2 END,
+  {_MINUTE} NULLS LAST, ordinal) AS rn FROM fx_feed"""
+
+
+@query("group_matches_all", _GROUPS, FEED)
+def group_matches_all(fx):
+    return f.group_matches(fx.feed, None).select("key", "id", F.col("rn").cast("long").alias("rn"))
+
+
+@query("group_matches", f"SELECT key, id, rn FROM ({_GROUPS}) WHERE rn <= 20", FEED)
 def group_matches(fx):
     return f.group_matches(fx.feed).select("key", "id", F.col("rn").cast("long").alias("rn"))
 
@@ -250,14 +257,14 @@ def draw_layout(fx):
 
 
 @query("by_day_layout", """
-SELECT key, day_key, 'Day ' || CASE WHEN day_key LIKE 'd%' THEN substr(day_key, 2) ELSE CAST(rn AS VARCHAR) END || ' · ' || label AS heading, matches FROM (
+SELECT key, day_key, CASE WHEN day_key = 'tbc' THEN 'Date TBC' ELSE 'Day ' || CASE WHEN day_key LIKE 'd%' THEN substr(day_key, 2) ELSE CAST(rn AS VARCHAR) END || ' · ' || label END AS heading, matches FROM (
   SELECT key, day_key, arg_min(label, ordinal) AS label, count(*) AS matches, row_number() OVER (PARTITION BY key ORDER BY kind, n, x) AS rn FROM (
-    SELECT ordinal, source || ':' || tid AS key, CASE WHEN day_n IS NOT NULL THEN 0 ELSE 1 END AS kind, day_n AS n, CAST(substr(start_time, 1, 10) AS DATE) AS x,
-      CASE WHEN day_n IS NOT NULL THEN 'd' || day_n ELSE substr(start_time, 1, 10) END AS day_key,
+    SELECT ordinal, source || ':' || tid AS key, CASE WHEN day_n IS NOT NULL THEN 0 WHEN start_time IS NOT NULL THEN 1 ELSE 2 END AS kind, day_n AS n, CAST(substr(start_time, 1, 10) AS DATE) AS x,
+      CASE WHEN day_n IS NOT NULL THEN 'd' || day_n ELSE coalesce(substr(start_time, 1, 10), 'tbc') END AS day_key,
       CASE WHEN day_n IS NOT NULL THEN upper(strftime(d, '%b %d %a')) ELSE strftime(CAST(substr(start_time, 1, 10) AS DATE), '%a %-d %b') END AS label
-    FROM fx_feed WHERE day_n IS NOT NULL OR start_time IS NOT NULL) GROUP BY key, day_key, kind, n, x)""", FEED)
+    FROM fx_feed) GROUP BY key, day_key, kind, n, x)""", FEED)
 def by_day_layout(fx):
-    return f.day_groups(fx.feed.where("day is not null or start_time is not null")).select("key", "day_key", "heading", "matches")
+    return f.day_groups(fx.feed).select("key", "day_key", "heading", "matches")
 
 
 @query("find_tournament", """

@@ -121,12 +121,23 @@ def ranking_filter(fx):
     return fl.ranking_filter(fx.last_lists, q="P1", country="C1").select("fed", "category", F.col("rank").cast("long").alias("rank"), "name")
 
 
+@query("ranking_list_all", "SELECT fed, category, rank, name, row_number() OVER (PARTITION BY fed, category ORDER BY rank) AS rn FROM fx_last_lists", ("fx_last_lists",))
+def ranking_list_all(fx):
+    return r.list_rows(fx.last_lists, None).select("fed", "category", F.col("rank").cast("long").alias("rank"), "name", F.col("rn").cast("long").alias("rn"))
+
+
 @query("ranking_list_rows", """
 SELECT fed, category, rank, name FROM (SELECT *, row_number() OVER (PARTITION BY fed, category ORDER BY rank) AS rn FROM fx_last_lists) WHERE rn <= 20""", ("fx_last_lists",))
 def ranking_list_rows(fx):
     return r.list_rows(fx.last_lists, 20).select("fed", "category", F.col("rank").cast("long").alias("rank"), "name")
 
 
+@query("ranking_page_all", """
+SELECT strftime(snapshot_at, '%Y-%m-%d') AS snapshot_at, fed, category, rank FROM fx_ranking_rows""", ("fx_ranking_rows",))
+def ranking_page_all(fx):
+    return r.page(fx.ranking_rows, None).select(ts("snapshot_at"), "fed", "category", F.col("rank").cast("long").alias("rank"))
+
+
 @query("ranking_page", """
 SELECT snapshot_at, fed, category, rank FROM (
   SELECT strftime(snapshot_at, '%Y-%m-%d') AS snapshot_at, fed, category, rank, row_number() OVER (PARTITION BY fed, category ORDER BY rank) AS rn FROM fx_last_lists) WHERE rn <= 250""", ("fx_last_lists",))

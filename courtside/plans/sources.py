@@ -243,7 +243,7 @@ def calendar_pages(fx):
     when = F.when(k % 11 == 0, "Postponed").otherwise(F.concat(F.date_format(o, "d MMMM"), F.lit(" – "), F.date_format(F.date_add(o, 6), "d MMMM")))
     td = lambda c: F.concat(F.lit("<td><b>"), c, F.lit("</b>[3]</td>"))
     row = F.concat(F.lit("<tr>"), td(F.concat("p_name", pick(k % 4, " P1", " Major", " Finals", ""), F.lit(" "), s(k))), td(F.col("p_brand")), td(pick(k % 3, *_COUNTRIES)), td(when), F.lit("</tr>"))
-    rows = fx.table("part").select((k % 50).alias("page_id"), k, row.alias("row"))
+    rows = fx.table("part").select(F.floor(k / 40).alias("page_id"), k, row.alias("row"))
     body = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "row"))).alias("rs"))
     html = F.concat(
         F.lit("<p>x</p><table class='other'><tr><td>Tournament</td></tr></table><table class='wikitable'><tr><th>Tournament</th><th>City</th><th>Country</th><th>Date</th></tr>"),
