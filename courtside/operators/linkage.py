@@ -20,6 +20,7 @@ from courtside.functions.text import (
     tokens,
 )
 from courtside.operators.contains import contains_pairs, rarest_gram
+from courtside.operators.overlap_join import NEAR, overlap_pairs, set_text
 from courtside.operators.ordered import best_row, ordinal_slice, running
 from courtside.operators.schedule import pair_rows
 from courtside.session import cut, rounds
@@ -135,7 +136,8 @@ def link_finals(rows: DataFrame, t: DataFrame, at_least: float = lk.FINAL_LINK_M
     rows: row_id, year, city, name, final_date; t: key, ordinal, year, city, name, start.
     City agreement counts 3, word overlap up to 3, a final within ten days of the start up
     to 1.5; below the threshold there is no link and the first tournament wins ties. A link
-    therefore needs a common word or a common city, which is what candidates join on.
+    therefore needs a common city, a great share of words, or some words and a near date:
+    candidates join on these, so few pairs are made that cannot reach the threshold.
     """
     r = rows.withColumn("rc", fold(F.col("city"))).withColumn("rt", tokens(F.col("name"), 3, lk.STOP_FINALS))
     rp = r.select("year", "rc", "rt", F.col("final_date").alias("rd")).distinct()
@@ -148,21 +150,18 @@ def link_finals(rows: DataFrame, t: DataFrame, at_least: float = lk.FINAL_LINK_M
     city_part = F.when((F.col("rc") != "") & (F.col("tc") != "") & (has("rc", "tc") | has("tc", "rc")), 3.0).otherwise(0.0)
     prof = ["year", "rc", "rt", "rd"]
 
-    # a common word: names repeat, so word sets are compared once per distinct pair of sets,
-    # at the first word they share, and only the numbers go on to the rows
-    text = lambda c: F.concat_ws(" ", c).alias(f"{c}k")
-    rs = rp.select("year", "rt", text("rt")).distinct().withColumn("w", F.explode("rt"))
-    ts = tp.select("year", "tt", text("tt")).distinct().withColumn("w", F.explode("tt"))
-    sets = rs.join(ts, ["year", "w"]).where(F.array_min(F.array_intersect("rt", "tt")) == F.col("w")).select(
-        "year", "rtk", "ttk", (3 * overlap(F.col("rt"), F.col("tt"))).alias("words")
-    )
-    spots_t = tp.select("year", text("tt"), "tc", "start", "key", "ordinal")
-    words = (
-        rp.select(*prof, text("rt")).join(sets, ["year", "rtk"]).join(spots_t, ["year", "ttk"])
-        .withColumn("score", city_part + F.col("words") + F.coalesce(date_part, F.lit(0.0)))
-        .where(F.col("score") >= at_least).select(*prof, "key", "ordinal", "score")
-    )
-    # a common city: here only the start day matters, so one tournament per city and day will do
+    # a common word, as far as it can reach the threshold: names alone need a great share of words, the others a date
+    # within ten days or a common city. Names repeat, so word sets are compared once per distinct pair of sets.
+    text = lambda c: set_text(c).alias(f"{c}k")
+    sets = lambda df, c, *by: df.select("year", *by, F.col(c).alias("words"))
+    marks = lambda df: df.withColumnsRenamed({"lk": "rtk", "rk": "ttk"}).withColumn("words", 3 * F.col("share")).drop("share")
+    rpk, tpk = rp.select("*", text("rt")), tp.select("*", text("tt"))
+    by_name = rpk.join(marks(overlap_pairs(sets(rp, "rt"), sets(tp, "tt"), ["year"], at_least / 3)), ["year", "rtk"]).join(tpk, ["year", "ttk"])
+    span = lambda c: F.floor(F.unix_date(c) / 11)
+    r_at = rpk.where("rd is not null").withColumn("days", F.explode(F.sequence(span(F.col("rd")) - 1, span(F.col("rd")) + 1)))
+    t_at = tpk.where("start is not null").withColumn("days", span(F.col("start")))
+    dated = marks(overlap_pairs(sets(r_at, "rt", "days"), sets(t_at, "tt", "days"), ["year", "days"], (at_least - 1.5) / 3))
+    by_date = r_at.join(dated, ["year", "days", "rtk"]).join(t_at, ["year", "days", "ttk"]).where(near <= 10)
     rc = rp.select("year", "rc").where("rc <> ''").distinct()
     tc = tp.select("year", "tc").where("tc <> ''").distinct()
     inside = contains_pairs(rc.select("year", F.col("rc").alias("needle")), tc.select("year", F.col("tc").alias("hay")), ["year"])
@@ -170,6 +169,15 @@ def link_finals(rows: DataFrame, t: DataFrame, at_least: float = lk.FINAL_LINK_M
     cities = inside.select("year", F.col("needle").alias("rc"), F.col("hay").alias("tc")).unionByName(
         around.select("year", F.col("hay").alias("rc"), F.col("needle").alias("tc"))
     ).distinct()
+    t_word = tp.withColumn("w", F.explode("tt"))
+    by_city = rp.withColumn("w", F.explode("rt")).join(cities, ["year", "rc"]).join(t_word, ["year", "tc", "w"]).where(
+        F.get(F.array_intersect("rt", "tt"), F.lit(0)) == F.col("w")
+    ).withColumn("words", 3 * overlap(F.col("rt"), F.col("tt")))
+    words = reduce(DataFrame.unionByName, [
+        df.withColumn("score", city_part + F.col("words") + F.coalesce(date_part, F.lit(0.0)))
+        .where(F.col("score") >= at_least).select(*prof, "key", "ordinal", "score") for df in (by_name, by_date, by_city)
+    ])
+    # a common city alone: here only the start day matters, so one tournament per city and day will do
     spots = tp.groupBy("year", "tc", "start").agg(F.min_by("key", "ordinal").alias("key"), F.min("ordinal").alias("ordinal"))
     rows_at = rp.select("year", "rc", "rd").distinct()
     city = (
@@ -311,14 +319,19 @@ def score_draws(draws: DataFrame, t: DataFrame, at_least: float = lk.DRAW_LINK_M
     ).distinct()
     in_city = F.contains("tc", F.col("dc")) | F.contains(F.col("dc"), F.col("tc"))
     near_city = (F.col("dc") != "") & (F.col("tc") != "") & (in_city | (F.substring("tc", 1, 5) == F.substring("dc", 1, 5)))
+    # words alone must reach the threshold with at most a month to help them: a great share of words in neighbouring
+    # months, any word in the same one; names repeat, so word sets are compared once per distinct pair of sets
+    much = (at_least - 1) / 3
+    text = lambda c: set_text(c).alias(f"{c}k")
+    dk, tk = d.select("*", text("dt")), tt.select("*", text("tt"))
+    sets = lambda df, c, *by: df.select("year", *by, F.col(c).alias("words"))
+    marks = lambda df: df.withColumnsRenamed({"lk": "dtk", "rk": "ttk"}).withColumn("words", 3 * F.col("share"))
+    by_name = marks(overlap_pairs(sets(d, "dt"), sets(tt, "tt"), y, much))
+    t_then = tk.where("t_month is not null").withColumn("month", F.col("t_month"))
+    by_month = marks(overlap_pairs(sets(d.where("month is not null"), "dt", "month"), sets(t_then, "tt", "month"), ["year", "month"], (at_least - 3) / 3))
     shares_word = F.arrays_overlap("dt", "tt")
-    # names repeat: word sets are compared once per distinct pair, at the first word they share
-    text = lambda c: F.concat_ws(" ", c).alias(f"{c}k")
-    ds = d.select("year", "dt", text("dt")).distinct().withColumn("w", F.explode("dt"))
-    ts = tt.select("year", "tt", text("tt")).distinct().withColumn("w", F.explode("tt"))
-    sets = ds.join(ts, ["year", "w"]).where(F.array_min(F.array_intersect("dt", "tt")) == F.col("w")).select(
-        "year", "dtk", "ttk", (3 * overlap(F.col("dt"), F.col("tt"))).alias("words")
-    )
+    same_month = F.coalesce(F.col("month") == F.col("t_month"), F.lit(False))
+    listed = shares_word & (same_month | (overlap(F.col("dt"), F.col("tt")) >= much - NEAR))
     words = contains_pairs(
         d.where("length(dw) > 3").select("year", F.col("dw").alias("needle")), tt.select("year", F.col("tn").alias("hay")), y
     ).select("year", F.col("needle").alias("dw"), F.col("hay").alias("tn"))
@@ -327,11 +340,12 @@ def score_draws(draws: DataFrame, t: DataFrame, at_least: float = lk.DRAW_LINK_M
     found = [
         d.join(cities, ["year", "dc"]).join(tt, ["year", "tc"]),
         dcity.withColumn("p5", F.substring("dc", 1, 5)).join(tcity.withColumn("p5", F.substring("tc", 1, 5)), ["year", "p5"]).where(~in_city),
-        d.select("*", text("dt")).join(sets, ["year", "dtk"]).join(tt.select("*", text("tt")), ["year", "ttk"]).where(~near_city),
-        d.join(words, ["year", "dw"]).join(tt, ["year", "tn"]).where(~near_city & ~shares_word),
+        dk.join(by_name, ["year", "dtk"]).join(tk, ["year", "ttk"]).where(~near_city),
+        dk.join(by_month.where(F.col("share") < much - NEAR), ["year", "month", "dtk"]).join(t_then, ["year", "month", "ttk"]).where(~near_city),
+        d.join(words, ["year", "dw"]).join(tt, ["year", "tn"]).where(~near_city & ~listed),
     ]
     shared = 3 * overlap(F.col("dt"), F.col("tt"))
-    score = [_draw_score(shared), _draw_score(shared), _draw_score(F.col("words")), _draw_score(F.lit(0.0))]
+    score = [_draw_score(shared), _draw_score(shared), _draw_score(F.col("words")), _draw_score(F.col("words")), _draw_score(shared)]
     edges = [
         f.select("path", "key", "d_ord", "t_ord", c.alias("score")).where(F.col("score") >= at_least) for f, c in zip(found, score)
     ]

@@ -29,6 +29,11 @@ def pick(i: Column, *values: str | None) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
 
 
+def season(k: Column) -> Column:
+    """Seasons hold up to two hundred rows each, so their number grows with the data."""
+    return (2000 + k % 10 + 10 * F.floor(k / 2000)).cast("int")
+
+
 class Fixtures:
     """Lazy derived tables of one data folder."""
 
@@ -220,7 +225,7 @@ class Fixtures:
     @cached_property
     def archive_names(self) -> DataFrame:
         k = F.col("p_partkey")
-        year = (2000 + k % 10).cast("int")
+        year = season(k)
         return self.table("part").select(
             F.concat(F.lit("t-"), k.cast("string")).alias("key"), k.alias("ordinal"), year.alias("year"),
             F.when(k % 9 == 0, None).otherwise(F.concat(F.col("p_brand"), F.lit(" (x)"))).alias("city"), F.col("p_name").alias("name"),
@@ -230,7 +235,7 @@ class Fixtures:
     @cached_property
     def final_rows(self) -> DataFrame:
         k = F.col("p_partkey")
-        year = (2000 + k % 10).cast("int")
+        year = season(k)
         return self.table("part").select(
             k.alias("row_id"), k.alias("ordinal"), year.alias("year"), F.when(k % 8 == 0, "").otherwise(F.upper("p_brand")).alias("city"),
             F.concat(F.upper("p_name"), F.lit(" Open")).alias("name"),
@@ -423,13 +428,13 @@ SELECT year, gender, pair, CASE WHEN year < 1998 THEN 'APA' ELSE 'FIP' END AS au
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   GROUP BY year(o_orderdate), o_custkey % 2, CASE WHEN o_custkey % 2 = 0 THEN 'Men' ELSE 'Women' END, r_name) WHERE rn = 1""")
 cte("fx_archive_names", """
-SELECT 't-' || p_partkey AS key, p_partkey AS ordinal, CAST(2000 + p_partkey % 10 AS INT) AS year,
+SELECT 't-' || p_partkey AS key, p_partkey AS ordinal, CAST(2000 + p_partkey % 10 + 10 * (p_partkey // 2000) AS INT) AS year,
   CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_brand END AS city, p_name AS name,
-  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE make_date(CAST(2000 + p_partkey % 10 AS INT), 1, 1) + p_size END AS start FROM part""")
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE make_date(CAST(2000 + p_partkey % 10 + 10 * (p_partkey // 2000) AS INT), 1, 1) + p_size END AS start FROM part""")
 cte("fx_final_rows", """
-SELECT p_partkey AS row_id, CAST(2000 + p_partkey % 10 AS INT) AS year,
+SELECT p_partkey AS row_id, CAST(2000 + p_partkey % 10 + 10 * (p_partkey // 2000) AS INT) AS year,
   CASE WHEN p_partkey % 8 = 0 THEN '' ELSE p_brand END AS city, p_name AS name,
-  make_date(CAST(2000 + p_partkey % 10 AS INT), 1, 1) + p_size + p_size % 5 AS final_date
+  make_date(CAST(2000 + p_partkey % 10 + 10 * (p_partkey // 2000) AS INT), 1, 1) + p_size + p_size % 5 AS final_date
 FROM part""")
 cte("fx_archive_index", f"""
 SELECT 'rin-' || c_custkey AS key, c_mktsegment || ' ' || [{_WORDS}][c_custkey % 8 + 1] || ' ' || c_custkey AS name,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.scores import parse_sets
 from courtside.operators import filters as fl, linkage as ln, normalise as nm, schedule as sch
-from courtside.plans.fixtures import draw_pair, first_winner, pick, second_winner
+from courtside.plans.fixtures import draw_pair, first_winner, pick, second_winner, season
 from courtside.plans.registry import cte, query
 from courtside.session import cut
 from courtside.sources.pages import draw_cells
@@ -400,13 +400,13 @@ def part_draws(fx):
     month = pick(k % 5, "enero", "febrero", "marzo", "x", "diciembre")
     city = F.when(k % 4 == 0, F.concat(F.lit("ppt"), F.split("p_name", " ")[1], s(k % 10))).otherwise(F.translate(F.lower("p_brand"), "#", ""))
     return fx.table("part").select(
-        F.concat_ws("/", F.lit("/wpt"), s(2000 + k % 10), month, city, F.lit("")).alias("p0"), k.alias("ordinal"),
-        (2000 + k % 10).cast("int").alias("year"), F.concat("p_name", F.lit(" Master")).alias("name"),
+        F.concat_ws("/", F.lit("/wpt"), s(season(k)), month, city, F.lit("")).alias("p0"), k.alias("ordinal"),
+        season(k).alias("year"), F.concat("p_name", F.lit(" Master")).alias("name"),
     ).select(F.concat(F.lit("/"), s(F.col("ordinal")), F.col("p0")).alias("path"), "ordinal", "year", "name")
 
 
 cte("fx_part_draws", """
-SELECT p_partkey AS d_ord, CAST(2000 + p_partkey % 10 AS INT) AS year, [1, 2, 3, NULL, 12][p_partkey % 5 + 1] AS month,
+SELECT p_partkey AS d_ord, CAST(2000 + p_partkey % 10 + 10 * (p_partkey // 2000) AS INT) AS year, [1, 2, 3, NULL, 12][p_partkey % 5 + 1] AS month,
   CASE WHEN p_partkey % 4 = 0 THEN 'ppt' || string_split(p_name, ' ')[2] || (p_partkey % 10) ELSE lower(replace(p_brand, '#', '')) END AS dc,
   CASE WHEN p_partkey % 4 = 0 THEN string_split(p_name, ' ')[2] ELSE 'brand' END AS dw, string_split(p_name, ' ') AS dt FROM part""")
 cte("fx_part_t", """
@@ -443,7 +443,7 @@ g(n, d_ord, key, t_ord, score, taken) AS (
     FROM (SELECT *, bool_or(taken) OVER (PARTITION BY d_ord) AS d_gone, bool_or(taken) OVER (PARTITION BY t_ord) AS t_gone FROM g)
     WHERE NOT d_gone AND NOT t_gone)),
 pairs AS (SELECT d_ord, key, score FROM g WHERE taken),
-named AS (SELECT '/' || p_partkey || '/wpt/' || (2000 + p_partkey % 10) || '/' || ['enero', 'febrero', 'marzo', 'x', 'diciembre'][p_partkey % 5 + 1] || '/' ||
+named AS (SELECT '/' || p_partkey || '/wpt/' || (2000 + p_partkey % 10 + 10 * (p_partkey // 2000)) || '/' || ['enero', 'febrero', 'marzo', 'x', 'diciembre'][p_partkey % 5 + 1] || '/' ||
   CASE WHEN p_partkey % 4 = 0 THEN 'ppt' || string_split(p_name, ' ')[2] || (p_partkey % 10) ELSE lower(replace(p_brand, '#', '')) END || '/' AS path,
   p_partkey AS d_ord, p_name || ' Master' AS name FROM part)
 """
