@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.llm.common import by_batch, narrow
+from courtside.llm.common import narrow
 
 
 def train(docs: DataFrame, learn, dict_bytes: int = 110 << 10, per_lang: int = 300, lang: str = "lang", share: int = 4096) -> dict[str, bytes]:
@@ -16,13 +16,16 @@ def train(docs: DataFrame, learn, dict_bytes: int = 110 << 10, per_lang: int = 3
 
     `learn` is the condition on rows to learn from. The first `share` bytes of each chosen text count first, so that many
     texts speak for a language; where these do not fill `dict_bytes`, the rest of the texts follows. Rows without a language,
-    an id or a text teach nothing. What reaches the driver is bounded by languages, not by documents.
+    an id or a text teach nothing, also where another row of their id does. Only ids and languages are shuffled to choose;
+    the at most `per_lang` ids of each language are broadcast back, so no text of another document leaves its task. What
+    reaches the driver is bounded by languages, not by documents.
     """
     rows = docs.where(learn).where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col("text").cast("string").cast("binary").alias("body"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).alias("lang")).distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    chosen = own.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang)
     size = F.octet_length("body")
-    texts = narrow(docs).join(chosen, "doc_id").withColumn("later", F.explode(F.when(size > share, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    texts = own.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("later", F.explode(F.when(size > share, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     use = F.when(F.col("later"), size - share).otherwise(F.least(size, F.lit(share)))
     until = F.sum(use).over(Window.partitionBy("lang").orderBy("later", "rank", "body"))
     piece = F.when(F.col("later"), F.substring("body", share + 1, dict_bytes)).otherwise(F.substring("body", 1, share))

@@ -35,3 +35,17 @@ def test_narrow_margins_are_rejected(spark):
     docs = spark.createDataFrame([(1, "words both know well")], "doc_id long, text string")
     same = b"words both know well and others too"
     assert [r["rejected"] for r in language_id.predict(docs, {"a": same, "b": same}).collect()] == [True]
+
+
+def test_rows_that_teach_nothing_share_an_id_with_one_that_does(spark):
+    rows = [(1, "learnt words", "en"), (1, "unlabelled words", None), (1, "mots appris", "fr"), (2, "held words", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train(docs, F.col("doc_id") == 1) == {"en": b"learnt words\n", "fr": b"mots appris\n"}
+
+
+def test_learning_shuffles_no_text(spark, small, monkeypatch):
+    plans = []
+    monkeypatch.setattr(type(small), "collect", lambda df: plans.append(df) or [])
+    language_id.train(small, F.lit(True))
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
