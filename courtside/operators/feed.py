@@ -11,7 +11,7 @@ from courtside.functions.labels import (
     status_order, tier,
 )
 from courtside.operators.filters import feed_filter
-from courtside.operators.ordered import first_rows
+from courtside.operators.ordered import best_row, first_rows
 
 
 def union_feeds(feeds: list[DataFrame]) -> DataFrame:
@@ -26,13 +26,14 @@ def union_feeds(feeds: list[DataFrame]) -> DataFrame:
 def merge_feeds(m: DataFrame) -> DataFrame:
     """One row per id: the last write decides the value, the first one the place.
 
-    Needs source_rank and ordinal. An aggregation, so copies of one id are merged
-    before the shuffle however many there are.
+    Needs source_rank and ordinal. Copies of one id are cut to the last one on every task before
+    the shuffle; first places are aggregated apart, as (id, place) only, and meet the rows by id.
     """
-    at = F.struct("source_rank", "ordinal")
     values = [c for c in m.columns if c not in ("id", "source_rank", "ordinal")]
-    out = m.groupBy("id").agg(F.max_by(F.struct(*values), at).alias("_row"), F.min(at).alias("first_seen"))
-    return out.select("id", "_row.*", "first_seen")
+    keyed = m.withColumn("_key", F.struct("id"))          # a struct, so that null ids are one id, as in a grouping
+    last = best_row(keyed, ["_key"], [F.col("source_rank"), F.col("ordinal")])
+    first = keyed.groupBy("_key").agg(F.min(F.struct("source_rank", "ordinal")).alias("first_seen"))
+    return last.select("_key", "id", *values).join(first, "_key").select("id", *values, "first_seen")
 
 
 def feed_order() -> list[Column]:
@@ -44,18 +45,14 @@ def best_variant(rows: DataFrame) -> DataFrame:
     n = F.size("sets")
     rank = F.when(n <= 3, n).otherwise(-n)
     key = F.to_json(F.struct("header", "players_a", "players_b"))
-    values = [c for c in rows.columns if c != "event_id"]
-    best = rows.withColumn("_key", key).groupBy("event_id", "_key").agg(
-        F.max_by(F.struct(*values), F.struct(rank, -F.col("ordinal"))).alias("_row")
-    )
-    return best.select("event_id", "_row.*")
+    best = best_row(rows.withColumn("_key", key), ["event_id", "_key"], [rank, -F.col("ordinal")])
+    return best.select("event_id", *[c for c in rows.columns if c != "event_id"])
 
 
 def distinct_first(df: DataFrame, key: list[str], ordinal: str = "ordinal") -> DataFrame:
     """First row per key in feed order."""
-    values = [c for c in df.columns if c not in key]
-    out = df.groupBy(*key).agg(F.min_by(F.struct(*values), F.col(ordinal)).alias("_row"))
-    return out.select(*key, "_row.*")
+    first = first_rows(df, key, [F.col(ordinal).asc_nulls_last()], 1, "_place")
+    return first.select(*key, *[c for c in df.columns if c not in key])
 
 
 def tally(m: DataFrame, key: str) -> DataFrame:

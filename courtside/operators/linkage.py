@@ -85,21 +85,37 @@ def merge_seasons(spine: DataFrame, other: DataFrame, days: int = 4) -> tuple[Da
     winners, runners_up, score, sets). The spine names the events; the other language is
     attached by key, else to the first spine event that starts within `days`, and only
     fills gaps or replaces a less complete final. What matches nothing is reported.
+    Rows count in reading order: an event without a start gets one from the first row of
+    its key, and rows read after that one, not those before it, can match through it.
     """
     targets = spine.groupBy("key").agg(
-        F.min("ordinal").alias("ordinal"), F.first("season").alias("season"),
+        F.min("ordinal").alias("ordinal"), F.min_by("season", "ordinal").alias("season"),
         F.min_by("start", F.when(F.col("start").isNotNull(), F.col("ordinal"))).alias("start"),
     )
     by_key = other.join(targets.select("key"), "key", "left_semi").withColumn("target", F.col("key"))
     rest = other.join(targets.select("key"), "key", "left_anti")
-    spread = targets.where("start is not null").select(
-        "season", F.col("key").alias("target"), F.col("ordinal").alias("t_ord"),
-        F.explode(F.sequence(F.date_add("start", -days), F.date_add("start", days))).alias("start"),
+    # a row that matches by date finds a start there, so only rows of the key fill one: one step settles all fills
+    fills = by_key.where("start is not null").groupBy("key").agg(
+        F.min_by("start", "ordinal").alias("fill"), F.min("ordinal").alias("since")
     )
-    # the first target per start day is all a row can be given, so the join adds no rows
-    first_on = spread.groupBy("season", "start").agg(F.min_by("target", "t_ord").alias("target"))
-    by_date = rest.join(first_on, ["season", "start"])
-    unmatched = rest.join(by_date.select("key", "ordinal"), ["key", "ordinal"], "left_anti")
+    always = F.lit(-(1 << 62))
+    offers = targets.join(fills, "key", "left").select(
+        "season", F.when(F.col("start").isNotNull(), always).otherwise(F.col("since")).alias("time"), F.lit(1).alias("turn"),
+        F.struct("ordinal", F.col("key").alias("target")).alias("offer"), F.coalesce("start", "fill").alias("start"),
+    ).where("start is not null").withColumn(
+        "day", F.explode(F.sequence(F.date_add("start", -days), F.date_add("start", days)))
+    ).drop("start")
+    asks = rest.select(
+        "season", F.col("start").alias("day"), F.col("ordinal").cast("long").alias("time"), F.lit(0).alias("turn"),
+        F.struct(*[rest[c] for c in rest.columns]).alias("row"),
+    )
+    # per day the first event among those offered before a row is read: a running minimum, so no row is multiplied
+    placed = running(
+        offers.unionByName(asks, allowMissingColumns=True), ["season", "day"], ["time", "turn"],
+        ordinal_slice(F.col("time")), {"first": ("min", F.col("offer"))}, inclusive=False,
+    ).where("row is not null")
+    by_date = placed.where("first is not null").select("row.*", F.col("first.target").alias("target"))
+    unmatched = placed.where("first is null").select("row.*")
     attached = by_key.unionByName(by_date.select(*by_key.columns))
     seq = lambda lang: F.struct(F.lit(lang).alias("lang"), F.col("ordinal"))
     rows = spine.withColumn("target", F.col("key")).withColumn("seq", seq(0)).unionByName(attached.withColumn("seq", seq(1)))

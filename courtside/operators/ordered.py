@@ -84,7 +84,9 @@ def first_rows(df: DataFrame, by: list[str], order: list[Column | str], k: int |
 
 
 def best_row(df: DataFrame, by: list[str], score: list[Column]) -> DataFrame:
-    """The row with the greatest score per key, by aggregation (merged map-side)."""
-    values = [c for c in df.columns if c not in by]
-    best = df.groupBy(*by).agg(F.max_by(F.struct(*values), F.struct(*score)).alias("_row"))
-    return best.select(*by, "_row.*").select(*df.columns)
+    """The row with the greatest score per key, nulls least; any of them on ties.
+
+    Each task is cut to one row per key before the shuffle, however often a key comes. Rows are sorted by
+    reference and not aggregated: a struct of the whole row as an aggregate would be copied at every step.
+    """
+    return first_rows(df, by, [c.desc() for c in score], 1, "_place").drop("_place")

@@ -103,26 +103,24 @@ def latest_by_key(
     """Current rows of a change log: the last write per key, without deleted keys.
 
     `created` names a time column whose value survives updates: the first one since
-    the key was last deleted. All of it is aggregation with map-side combine, so a
-    key that holds most of the log is merged on every task before the shuffle.
+    the key was last deleted. Each task is cut to the last write of a key before the shuffle,
+    so a key that holds most of the log costs one row a task; times are aggregated apart from rows.
     """
     gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
     values = [c for c in changes.columns if c not in key]
     at = F.struct(*order)
-    last = changes.withColumn("_gone", gone).groupBy(*key).agg(
-        F.max_by(F.struct(*values, "_gone"), at).alias("_row"),
-        F.max(F.when(F.col("_gone"), at)).alias("_deleted_at"),
-    )
-    live = last.where(~F.col("_row._gone"))
+    last = best_row(changes.withColumn("_gone", gone), key, [F.col(c) for c in order])
+    live = last.where(~F.col("_gone")).select(*key, *values)
     if created is None:
-        return live.select(*key, "_row.*").drop("_gone")
+        return live
+    gone_at = changes.where(gone).groupBy(*key).agg(F.max(at).alias("_deleted_at"))
     born = (
-        changes.where(~gone)
-        .join(live.select(*key, "_deleted_at"), key)
+        changes.where(~gone).select(*dict.fromkeys([*key, *order, created]))
+        .join(gone_at, key, "left")
         .where(F.col("_deleted_at").isNull() | (at > F.col("_deleted_at")))
         .groupBy(*key).agg(F.min(created).alias("created_at"))
     )
-    return live.select(*key, "_row.*").drop("_gone").join(born, key)
+    return live.join(born, key)
 
 
 def freshest(copies: DataFrame, prefer: str = "stamp") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against step-by-step computations on small or skewed inputs."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -336,3 +337,45 @@ def test_freshest_prefers_a_readable_stamp_of_one_origin(spark):
     rows = [("k", "d1", "good", "2024-05-01T09:00:00Z"), ("k", "d1", "bad", "yesterday"), ("z", "d1", "late", "2024-05-01T09:00:00Z"), ("z", "static", "early", "2024-05-01T12:00:00+05:00")]
     got = {r["key"]: r["body"] for r in tables.freshest(spark.createDataFrame(rows, "key string, origin string, body string, stamp string")).collect()}
     assert got == {"k": "good", "z": "late"}
+
+
+def folded(spine, other, days=4):
+    """Row after row, as a reader would: targets of the foreign rows in reading order, and the starts that are known at the end."""
+    events = {k: start for k, start in spine}
+    targets = []
+    for key, start in other:
+        at = key if key in events else next((k for k, v in events.items() if start and v and abs((v - start).days) <= days), None)
+        targets.append(at)
+        if at is not None and events[at] is None:
+            events[at] = start
+    return targets, events
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_season_merge_reads_in_order(spark, seed):
+    rng = random.Random(seed)
+    when = lambda: rng.choice([None, dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(25))])
+    spine = [(f"s{k}", when()) for k in range(12)]
+    other = [(rng.choice([f"s{rng.randrange(12)}", f"x{k}"]), when()) for k in range(60)]
+    shape = "key string, season int, ordinal long, name string, city string, country string, start date, finals map<string, struct<winners: array<string>, runners_up: array<string>, score: string, sets: array<string>>>"
+    rows = lambda side: spark.createDataFrame([(k, 2020, i, k, None, None, d, {}) for i, (k, d) in enumerate(side)], shape)
+    facts, _, unmatched = ln.merge_seasons(rows(spine), rows(other))
+    targets, events = folded(spine, other)
+    assert {r["key"]: r["start"] for r in facts.collect()} == events
+    assert sorted(r["ordinal"] for r in unmatched.collect()) == [i for i, t in enumerate(targets) if t is None]
+
+
+def test_merges_aggregate_no_whole_rows(spark):
+    rows = spark.createDataFrame([("a", 1, 0, 1, "H", ["x"], ["y"], ["6-4"], "wide")], "id string, event_id int, source_rank int, ordinal int, header string, players_a array<string>, players_b array<string>, sets array<string>, body string")
+    for df in (fd.merge_feeds(rows), fd.best_variant(rows), fd.distinct_first(rows, ["id"]), tables.latest_by_key(rows, ["id"], ["ordinal"]), od.best_row(rows, ["id"], [F.col("ordinal")])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        grouped = [line for line in plan.splitlines() if "Aggregate" in line]
+        assert plan.count("WindowGroupLimit") >= 2 and not any("body" in line for line in grouped), plan
+
+
+def test_merge_feeds_odd_rows(spark):
+    shape = "id string, status string, source_rank int, ordinal int"
+    rows = spark.createDataFrame([(None, "x", 0, 1), (None, "y", 1, 0), ("a", None, 0, 2), ("a", None, 0, 2)], shape)
+    got = {r["id"]: (r["status"], tuple(r["first_seen"])) for r in fd.merge_feeds(rows).collect()}
+    assert got == {None: ("y", (0, 1)), "a": (None, (0, 2))}
+    assert fd.merge_feeds(rows.where("false")).count() == 0
