@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from courtside.plans.alerts import LIVE_TRANSITIONS, SCORE_CHANGES, SOON_TRANSITIONS, polls
-from courtside.plans.registry import query
+from courtside.plans.registry import ORACLES, query
 from courtside.session import local_folder
 from courtside.streaming import keyed, streams as st
 
@@ -25,19 +25,15 @@ def work(fx) -> str:
     return local_folder(fx.spark.sparkContext, "courtside-stream-")
 
 
-def stream_of(fx, df, name: str):
-    """Read the files of a derived table as a stream."""
+def in_batches(fx, df, name: str, by: list[str], n: int = 4):
+    """A derived table over `n` micro-batches; rows are dealt by a hash of `by`, so every batch after the first holds late ones."""
     path = os.path.join(work(fx), name)
-    df.write.parquet(path)
-    return fx.spark.readStream.schema(df.schema).parquet(path)
+    df.repartition(n, *by).write.parquet(path)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def events_in_batches(fx, n: int = 4):
-    """The event table over `n` micro-batches; rows are dealt by a hash, so every batch after the first holds late ones."""
-    e = fx.table("events")
-    path = os.path.join(work(fx), "events")
-    e.repartition(n, "event_id").write.parquet(path)
-    return fx.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def events_in_batches(fx):
+    return in_batches(fx, fx.table("events"), "events", ["event_id"])
 
 
 def daily_files(fx, df, name: str, last: str):
@@ -107,7 +103,7 @@ def stream_ingest(fx):
         F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string"), F.lit(":"), F.col("user_id").cast("string")).alias("id"),
         F.col("event_id").alias("ordinal"), F.lit(0).alias("source_rank"),
     )
-    st.ingest_stream(stream_of(fx, rows, "deliveries"), f"{root}/feed", f"{root}/ck").awaitTermination()
+    st.ingest_stream(in_batches(fx, rows, "deliveries", ["source", "snapshot_at"]), f"{root}/feed", f"{root}/ck").awaitTermination()
     return st.merged_feed(fx.spark, f"{root}/feed").select("id")
 
 
@@ -131,10 +127,36 @@ JOIN w ON strftime(r.snapshot_at, '%G-W%V') = w.week WHERE r.snapshot_at IN (w.a
 def stream_baselines(fx):
     root = work(fx)
     rows = fx.ranking_rows.select("snapshot_at", "fed", "category", "rank", "id", "name", "ordinal")
-    st.baseline_stream(stream_of(fx, rows, "lists"), f"{root}/base", f"{root}/ck").awaitTermination()
+    st.baseline_stream(in_batches(fx, rows, "lists", ["snapshot_at"]), f"{root}/base", f"{root}/ck").awaitTermination()
     return fx.spark.read.parquet(f"{root}/base").select(day("snapshot_at"), "fed", "category", F.col("rank").cast("long").alias("rank"), "name")
 
 
+@query("stream_weekly_movement", ORACLES["weekly_movement"])
+def stream_movement(fx):
+    """The movement of the whole history, from lists that come in four batches out of order."""
+    root = work(fx)
+    st.movement_stream(in_batches(fx, fx.ranking_rows, "lists", ["snapshot_at"]), f"{root}/moves", f"{root}/ck").awaitTermination()
+    return st.current_movement(fx.spark, f"{root}/moves").select(
+        day("snapshot_at"), "fed", "category", F.col("rank").cast("long").alias("rank"), "name", "movement",
+        F.col("delta").cast("string").alias("delta"), "movement_state",
+    )
+
+
+@query("stream_pruned_subscriptions", """
+SELECT user_id AS key, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
+  WHERE event_type <> 'error' OR event_id % 3 <> 2) WHERE rn = 1 AND event_type <> 'error'""")
+def stream_pruned(fx):
+    """Subscriptions and what push services answered (404, 410 and 500 in turn), as one stream of changes."""
+    root, e, order = work(fx), events_in_batches(fx), ["updated_at", "event_id"]
+    e = e.withColumn("key", F.col("user_id")).withColumn("updated_at", F.col("ts"))
+    made = e.where("event_type <> 'error'").select("key", *order, "value", F.lit(False).alias("deleted"))
+    answers = e.where("event_type = 'error'").withColumn("status_code", F.element_at(F.array(*map(F.lit, (404, 410, 500))), (F.col("event_id") % 3 + 1).cast("int")))
+    changes = made.unionByName(st.prune_changes(answers, ["key"], order), allowMissingColumns=True)
+    st.upsert_stream(changes, f"{root}/subs", f"{root}/ck", ["key"], order, 8).awaitTermination()
+    return st.current_rows(fx.spark, f"{root}/subs").select("key", "value", stamp("updated_at"))
+
+
 @query("stream_deduplicated_alerts", """
 SELECT DISTINCT user_id AS id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour FROM events WHERE event_type = 'click'""")
 def stream_dedup(fx):

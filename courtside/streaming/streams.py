@@ -14,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from courtside.operators import alerts as al, feed as fd
+from courtside.functions.dates import iso_week
+from courtside.operators import alerts as al, feed as fd, rankings as rk
+from courtside.operators.ordered import best_row
 from courtside.session import cut
 
 
@@ -43,22 +45,16 @@ def merge_bucketed(batch: DataFrame, path: str, key: list[str], order: list[str]
     """Keep the newest row per key in a bucketed table; only touched buckets are rewritten."""
     spark = batch.sparkSession
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    new = fd_latest(batch, key, order).withColumn("bucket", bucket)
+    new = best_row(batch, key, [F.col(c) for c in order]).withColumn("bucket", bucket)
     old = read_state(spark, path, new)
     touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]   # at most `buckets` numbers
     if not touched:
         return
     kept = old.where(F.col("bucket").isin(touched)).select(*new.columns)
-    merged = cut(fd_latest(kept.unionByName(new), [*key, "bucket"], order))   # the source folder is rewritten next
+    merged = cut(best_row(kept.unionByName(new), [*key, "bucket"], [F.col(c) for c in order]))   # the source folder is rewritten next
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def fd_latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    values = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_r"))
-    return best.select(*key, "_r.*").select(*df.columns)
-
-
 def upsert_stream(
     changes: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str], buckets: int = 64
 ) -> StreamingQuery:
@@ -73,11 +69,12 @@ def current_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("not deleted").drop("bucket", "deleted")
 
 
-def prune_changes(outcomes: DataFrame) -> DataFrame:
-    """Deletions for endpoints a push service reported as gone (404 or 410)."""
-    return outcomes.where(F.col("status_code").isin(404, 410)).select(
-        "endpoint", "updated_at", F.lit(True).alias("deleted")
-    )
+def prune_changes(outcomes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Deletions for the keys that a push service reported as gone (404 or 410); other outcomes change nothing.
+
+    Add them to the subscriptions that go into `upsert_stream`: one that is made anew after the report lives on.
+    """
+    return outcomes.where(F.col("status_code").isin(404, 410)).select(*key, *order, F.lit(True).alias("deleted"))
 
 
 # --- deliveries and the merged feed -----------------------------------------------------------
@@ -186,8 +183,6 @@ def baseline_stream(lists: DataFrame, path: str, checkpoint: str) -> StreamingQu
     Keeps, per week, the first and the last lists seen in it; the baseline of a week is the
     last list of the week before.
     """
-    from courtside.functions.dates import iso_week
-
     def fold(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("week", iso_week(F.col("snapshot_at")))
@@ -200,3 +195,42 @@ def baseline_stream(lists: DataFrame, path: str, checkpoint: str) -> StreamingQu
         keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
 
     return start(lists, fold, checkpoint)
+
+
+def movement_stream(lists: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Movement of every list against its week's frozen baseline, as lists arrive, late ones included.
+
+    Lists are kept by (week, epoch). A batch changes the weeks it has lists of and, as a late list may be the last of its
+    week, the weeks that follow them; only these are worked out again, from their own lists and those of the week before.
+    The result is written as a new version of each such week, so an epoch that runs again writes the same.
+    """
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        at = lambda df: df.withColumn("epoch", F.lit(epoch).cast("long"))
+        new = cut(at(batch.withColumn("week", iso_week(F.col("snapshot_at")))))
+        put = lambda df, name: df.write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("week", "epoch").parquet(f"{path}/{name}")
+        got = [r["week"] for r in new.select("week").distinct().collect()]         # weeks, not lists: about 52 a year
+        if not got:
+            return
+        put(new, "lists")
+        seen = new.select("week", "epoch").distinct()
+        put(seen.withColumn("any", F.lit(True)), "weeks")
+        known = read_state(spark, f"{path}/weeks", seen).where(F.col("epoch") <= epoch)
+        weeks = sorted(r["week"] for r in known.select("week").distinct().collect())
+        place = {w: k for k, w in enumerate(weeks)}
+        hit = sorted({k for w in got for k in (place[w], place[w] + 1) if k < len(weeks)})
+        need = sorted({weeks[k] for h in hit for k in (h - 1, h) if k >= 0})
+        rows = read_state(spark, f"{path}/lists", new).where(F.col("week").isin(need) & (F.col("epoch") <= epoch))
+        moved = rk.weekly_movement(rows.drop("week", "epoch").distinct())
+        put(at(moved.where(F.col("week").isin([weeks[k] for k in hit]))), "movement")
+
+    return start(lists, fold, checkpoint)
+
+
+def current_movement(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of every week."""
+    rows = spark.read.parquet(f"{path}/movement")
+    last = rows.groupBy("week").agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, ["week", "epoch"], "left_semi").drop("epoch")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.operators import alerts as al
+from courtside.operators import alerts as al, rankings as rk
 from courtside.plans.fixtures import Fixtures
 from courtside.streaming import keyed, streams as st
 
@@ -108,3 +108,29 @@ def test_failed_delivery_keeps_last_good_matches(spark, tmp_path):
     assert {r["id"] for r in st.merged_feed(spark, path).collect()} == {"a1", "a2", "b2"}
     status = {r["source"]: (r["ok"], str(r["last_ok_at"])[:10]) for r in spark.read.parquet(f"{path}/status").collect()}
     assert status == {"a": (False, "2024-01-01"), "b": (True, "2024-01-02")}
+
+
+def test_movement_of_late_lists(spark, tmp_path):
+    """Weeks of 2024-01-01 on; the last list of week 1 comes after those of week 2 and moves them, a week later stays as it is."""
+    lists = {1: [("a", 1), ("b", 2)], 16: [("a", 1), ("b", 2)], 9: [("b", 1), ("a", 2), (None, 3)], 6: [("c", 1), ("a", 2), ("b", 3)], 10: [("a", 1)]}
+    rows = [[(day, "FIP", "Men", rank, who, f"name {who}", rank) for who, rank in own] for day, own in lists.items()]
+    shape = "fed string, category string, rank int, id string, name string, ordinal int"
+    src = days(spark, [*rows, []], shape, f"{tmp_path}/in")
+    look = lambda df: sorted((r["snapshot_at"].day, r["rank"], str(r["id"]), r["movement"], str(r["delta"]), str(r["movement_state"])) for r in df.collect())
+    st.movement_stream(src, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = look(st.current_movement(spark, f"{tmp_path}/out"))
+    assert got == look(rk.weekly_movement(spark.read.parquet(f"{tmp_path}/in")))
+    assert (9, 1, "b", True, "2", "up") in got and (16, 1, "a", True, "0", "same") in got
+    st.movement_stream(src, f"{tmp_path}/out", f"{tmp_path}/ck2").awaitTermination()      # all epochs once more, as after a lost checkpoint
+    assert look(st.current_movement(spark, f"{tmp_path}/out")) == got
+
+
+def test_gone_endpoints_are_pruned(spark, tmp_path):
+    shape = "endpoint string, updated_at int, status_code int"
+    outcomes = spark.createDataFrame([("gone", 5, 410), ("lost", 5, 404), ("busy", 5, 500), ("back", 5, 410), ("fine", 5, 201)], shape)
+    subs = spark.createDataFrame([(k, 1, False) for k in ("gone", "lost", "busy", "back", "fine")] + [("back", 7, False)], "endpoint string, updated_at int, deleted boolean")
+    pruned = st.prune_changes(outcomes, ["endpoint"], ["updated_at"])
+    for part in (pruned, subs):                                                            # reports first, then older and newer subscriptions
+        part.select("endpoint", "updated_at", "deleted").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    st.upsert_stream(stream(spark, subs, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", ["endpoint"], ["updated_at"], 4).awaitTermination()
+    assert {r["endpoint"] for r in st.current_rows(spark, f"{tmp_path}/out").collect()} == {"busy", "back", "fine"}
