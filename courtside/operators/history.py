@@ -134,6 +134,21 @@ def head_to_head(mp: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def pair_match_list(mp: DataFrame, matches: DataFrame, tournaments: DataFrame, k: int | None = None) -> DataFrame:
+    """Matches of every pair of players, as opponents or partners, newest first (`rn`), with both teams.
+
+    `result`: whether a's side won (opponents) or both did (partners); null without a winner. A report may ask for the
+    first k of each pair and kind; uncut otherwise.
+    """
+    detail = matches.select(F.col("id").alias("match_id"), "tkey", "class", "round", "score")
+    pairs = pair_matches(mp, matches).join(detail, "match_id").withColumn("result", F.col("winner_side") == F.col("side_a"))
+    newest = [F.col("match_date").desc_nulls_last(), F.col("match_id").desc()]
+    t = tournaments.select("tkey", F.col("name").alias("tournament"), "federation")
+    if k is None:
+        return first_rows(with_teams(pairs, mp), ["a", "b", "opponents"], newest, None).join(t, "tkey")
+    return with_teams(first_rows(pairs, ["a", "b", "opponents"], newest, k), mp).join(t, "tkey")
+
+
 def shared_matches(mp: DataFrame, a: Column, b: Column, k: int | None = None) -> DataFrame:
     """Matches both players took part in; a list report may ask for the first k ids."""
     ids = lambda p: mp.where(F.col("player_id") == p).select("match_id")
@@ -247,18 +262,41 @@ def regroup_sides(mp: DataFrame) -> DataFrame:
 
     A side outside 1 and 2 counts as side 1. A match lists a handful of players.
     """
-    side = F.when(F.col("side") == 2, 2).otherwise(1)
-    rows = mp.groupBy("match_id", side.alias("side")).agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), "player_id", "name"))).alias("ps"),
+    rows = mp.groupBy("match_id", _side().alias("side")).agg(
+        F.sort_array(F.collect_list(_player())).alias("ps"),
         F.max(F.coalesce(F.col("is_winner"), F.lit(0)) == 1).alias("won"),
     )
     return rows.select(
-        "match_id", "side",
-        F.coalesce(F.nullif(F.concat_ws(" / ", F.transform("ps", lambda p: p["name"])), F.lit("")), F.lit("TBD")).alias("team"),
-        F.transform("ps", lambda p: p["player_id"]).alias("players"), "won",
+        "match_id", "side", team_text("ps").alias("team"), F.transform("ps", lambda p: p["player_id"]).alias("players"), "won"
     )
 
 
+def _side() -> Column:
+    return F.when(F.col("side") == 2, 2).otherwise(1)
+
+
+def _player() -> Column:
+    return F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), "player_id", "name")
+
+
+def team_text(players: str) -> Column:
+    """Names of a side by position; TBD if it has none."""
+    names = F.concat_ws(" / ", F.transform(players, lambda p: p["name"]))
+    return F.coalesce(F.nullif(names, F.lit("")), F.lit("TBD"))
+
+
+def with_teams(rows: DataFrame, mp: DataFrame) -> DataFrame:
+    """Rows of matches (match_id) with the teams of both sides, team_1 and team_2; TBD where a match has no players.
+
+    One aggregation by match, so rows that are dealt by match already are not shuffled again. Rows without a match stay.
+    """
+    on = lambda side: F.sort_array(F.collect_list(F.when(_side() == side, _player())))
+    teams = mp.groupBy("match_id").agg(on(1).alias("_p1"), on(2).alias("_p2"))
+    teams = teams.select("match_id", team_text("_p1").alias("team_1"), team_text("_p2").alias("team_2"))
+    out = rows.join(teams, "match_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("TBD")) for c in ("team_1", "team_2")})
+
+
 def flatten_players(m: DataFrame) -> DataFrame:
     """Player rows (match_id, side, pos, name, country, is_winner) of nested matches."""
     sides = m.select(F.col("id").alias("match_id"), F.col("score.winner").alias("w"), F.posexplode("teams").alias("s", "t"))

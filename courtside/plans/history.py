@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courtside.operators import history as h
-from courtside.plans.registry import query
+from courtside.plans.registry import cte, query
 
 MP, M, T, AP = "fx_match_players", "fx_matches", "fx_tournaments", "fx_appearances"
 DAY = "strftime(match_date, '%Y-%m-%d')"
@@ -68,6 +68,42 @@ def recent_matches(fx):
     )
 
 
+cte("fx_teams", f"""
+SELECT m.id AS match_id, coalesce(string_agg('P' || player_id, ' / ' ORDER BY pos) FILTER (side = 1), 'TBD') AS team_1,
+  coalesce(string_agg('P' || player_id, ' / ' ORDER BY pos) FILTER (side = 2), 'TBD') AS team_2
+FROM fx_matches m LEFT JOIN fx_match_players p ON p.match_id = m.id GROUP BY 1""", (M, MP))
+
+
+def named(fx):
+    return fx.match_players.withColumn("name", F.concat(F.lit("P"), F.col("player_id").cast("string")))
+
+
+@query("recent_matches_teams", f"""
+SELECT player_id, match_id, rn, {DAY} AS match_date, round, score, t.name AS tournament, t.federation, team_1, team_2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY match_date DESC, match_id DESC) AS rn FROM fx_appearances) a
+JOIN fx_tournaments t ON t.tkey = a.tkey JOIN fx_teams USING (match_id) WHERE rn <= 60""", (AP, T, "fx_teams"))
+def recent_matches_teams(fx):
+    """The match list of every player's page, both teams named."""
+    rows = h.with_teams(h.recent_matches(fx.match_players, fx.matches, fx.tournaments), named(fx))
+    return rows.select(
+        "player_id", "match_id", F.col("rn").cast("long"), day(), "round", "score", "tournament", "federation", "team_1", "team_2"
+    )
+
+
+@query("head_to_head_matches", f"""
+SELECT a, b, opponents, CAST(row_number() OVER (PARTITION BY a, b, opponents ORDER BY match_date DESC, match_id DESC) AS BIGINT) AS rn, match_id,
+  {DAY} AS match_date, round, score, result, t.name AS tournament, t.federation, team_1, team_2 FROM (
+  SELECT x.match_id, x.player_id AS a, y.player_id AS b, x.side <> y.side AS opponents, m.match_date, m.round, m.score, m.tkey, m.winner_side = x.side AS result
+  FROM fx_match_players x JOIN fx_match_players y ON x.match_id = y.match_id AND x.player_id < y.player_id JOIN fx_matches m ON m.id = x.match_id) p
+JOIN fx_tournaments t ON t.tkey = p.tkey JOIN fx_teams USING (match_id)""", (MP, M, T, "fx_teams"))
+def head_to_head_matches(fx):
+    """Both lists of every pair of players, uncut, with the teams."""
+    rows = h.pair_match_list(named(fx), fx.matches, fx.tournaments)
+    return rows.select(
+        "a", "b", "opponents", F.col("rn").cast("long"), "match_id", day(), "round", "score", "result", "tournament", "federation", "team_1", "team_2"
+    )
+
+
 @query("player_by_year", """
 SELECT player_id, CAST(year(match_date) AS INT) AS yr, count(*) AS played, count(*) FILTER (is_winner = 1) AS won
 FROM fx_appearances WHERE match_date IS NOT NULL GROUP BY 1, 2""", (AP,))

@@ -379,3 +379,19 @@ def test_merge_feeds_odd_rows(spark):
     got = {r["id"]: (r["status"], tuple(r["first_seen"])) for r in fd.merge_feeds(rows).collect()}
     assert got == {None: ("y", (0, 1)), "a": (None, (0, 2))}
     assert fd.merge_feeds(rows.where("false")).count() == 0
+
+
+def test_teams_of_odd_matches(spark):
+    mp = spark.createDataFrame(
+        [(1, 1, 2, 5, "B", 0), (1, 1, 1, 4, "A", 0), (1, 2, None, 6, "C", 1), (2, 2, 1, 7, None, None), (3, 9, 1, 8, "D", 0)],
+        "match_id int, side int, pos int, player_id int, name string, is_winner int")
+    rows = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,), (1,)], "match_id int")
+    got = sorted(((r["match_id"] or 0), r["team_1"], r["team_2"]) for r in h.with_teams(rows, mp).collect())
+    assert got == [(0, "TBD", "TBD"), (1, "A / B", "C"), (1, "A / B", "C"), (2, "TBD", "TBD"), (3, "D", "TBD"), (4, "TBD", "TBD")]
+    assert h.with_teams(rows.where("false"), mp).count() == 0
+
+
+def test_pair_match_list_cut_and_uncut(fx):
+    mp = fx.match_players.withColumn("name", F.col("player_id").cast("string"))
+    take = lambda k: {(r["a"], r["b"], r["opponents"], r["rn"], r["match_id"], r["team_1"]) for r in h.pair_match_list(mp, fx.matches, fx.tournaments, k).collect()}
+    assert take(3) == {row for row in take(None) if row[3] <= 3}
