@@ -365,6 +365,23 @@ def draw_page_cells(fx):
     return cells.select("path", "gender", long("r"), long("c"), "text", "is_name")
 
 
+@query("draw_page_forms", """
+SELECT path, gender, CAST(r AS BIGINT) AS r, CAST(c + CASE ck % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS c, text, is_name
+FROM fx_draw_cells""", ("fx_draw_cells",))
+def draw_page_forms(fx):
+    """The brackets as pages of four forms, by customer: plain, pairs marked by their colour alone after cells two columns
+    wide, a first cell as tall as the table beside a table without pairs, and pairs in tables of their own inside their cells."""
+    pair, begin = '<td bgcolor="#000000" class="primera">', "<table border=0><tr>"
+    form, html = F.regexp_extract("path", r"/c(\d+)/", 1).cast("long") % 4, F.col("html")
+    swap = lambda c, old, new: F.replace(c, F.lit(old), F.lit(new))
+    colour = swap(swap(html, pair, '<td bgcolor="#000000">'), "<tr>", '<tr><td colspan="2"></td>')
+    tall = swap(html, begin, '<table><tr><td>Final</td><td>Semifinales</td></tr></table><table border=0><tr><td rowspan="16"></td>')
+    nested = F.regexp_replace(html, f"({pair})(.*?)</td>", "$1<table><tr><td>$2</td></tr></table></td>")
+    page = F.when(form == 1, colour).when(form == 2, tall).when(form == 3, nested).otherwise(html)
+    cells = draw_cells(fx.draw_pages.withColumn("html", page), path="path").where("text <> ''")
+    return cells.select("path", "gender", long("r"), long("c"), "text", "is_name")
+
+
 @query("classified_cells", """
 SELECT path, gender, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, CASE WHEN is_name THEN 'name' ELSE 'score' END AS kind, ['Quarterfinal', 'Semifinal', 'Final'][c + 1] AS round,
   CASE WHEN is_name THEN 'Ana P' || ck || 'x' || p || '/Bea Q' || ck || 'x' || p END AS players FROM fx_draw_cells WHERE r > 0""", ("fx_draw_cells",))
