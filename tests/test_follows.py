@@ -63,3 +63,29 @@ def test_soon_digest_tells_the_estimate(spark):
     text = al.digest(m, "starting soon", ["g"], listed=1, kind="soon").first()["text"]
     assert text == "starting soon (2)\n\nFIP International (~15:30): A / B  vs  C / D\nC1 · Final · Cup\n\n…and 1 more"
     assert "(soon): E  vs  F" in al.digest(m, "starting soon", ["g"], kind="soon").first()["text"]
+
+
+def test_hits_of_many_follows_are_made_once(spark, monkeypatch):
+    """Surnames inside one another, several of one endpoint in one match, two tournaments, equal teams, long follow lists."""
+    m = [match(i, [f"Ana Star{i % 4}", f"Eva Starling{i % 3}"], ["live", "upcoming"][i % 2], ["big", "small"][i % 5 == 0]) for i in range(40)]
+    m.append(m[7])                                                    # a match delivered twice
+    names = {"e1": ["A Star", "B Starling", "C star1"], "e2": ["Z Starling2", "A Star3"], "e3": ["X none"], "e4": ["A Star2"], "e5": []}
+    tours = {"e1": ["fip:big"], "e2": ["fip:small", "fip:big"], "e3": ["fip:small"], "e4": [], "e5": ["fip:big", "fip:none"]}
+    follows = [(e, "player", n, n) for e in names for n in names[e]] + [(e, "tournament", t, "T") for e in tours for t in tours[e]]
+    want = {(e, i, k) for e in names for k, i, *_, t, teams in m if f"fip:{t[0]}" in tours[e]
+            or any(n.lower().split()[-1] in x[0].lower() for n in names[e] for x in teams)}
+    frames = lambda: (spark.createDataFrame(m, FEED), spark.createDataFrame(follows, "endpoint string, kind string, key string, name string"))
+    status = {r[0]: r[2] for r in m}
+    once, make = [], al._Follows.__init__
+    for most in (200, 2):
+        monkeypatch.setattr(al._Follows, "__init__", lambda s, a, b, c, most=most: make(s, a, b, c, most))
+        found = al.match_follows(*frames())
+        rows = [tuple(r) for r in found.collect()]
+        assert sorted(rows) == sorted(want)
+        once.append(found._jdf.queryExecution().optimizedPlan().toString().lstrip().split()[0])
+        n = {r["endpoint"]: r["n"] for r in al.notifications(*frames(), listed=2).collect()}
+        assert n == {e: sum(x[0] == e for x in want) for e in names if any(x[0] == e for x in want)}
+        got = al.followed_open(*frames(), shown=4).where("endpoint = 'e2'").orderBy("rn").collect()
+        mine = sorted((status[k] != "live", i, k) for e, i, k in want if e == "e2" for _ in range(1 + (k == "m7")))
+        assert [r["id"] for r in got] == [k for _, _, k in mine[:4]]
+    assert once[0].startswith("Union")                                # nothing above the joins makes the hits distinct
