@@ -59,3 +59,18 @@ def test_odd_rows(odd, empty):
     same = [sorted(map(str, (tuple(r)[:1] + tuple(r)[2:8] for r in x.collect()))) for x in (odd, out)]
     assert same[0] == same[1]
     assert line_dedup.dedup_lines(empty).collect() == []
+
+
+def test_rarity_counts_every_text(spark):
+    """A word of the second and third text alone has a cell; before, only every fourth text was counted."""
+    import numpy as np
+    import xxhash
+
+    texts = ["one", "two two", "three " * 7, "four", "five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    cells = {}
+    for w in " ".join(texts).split():
+        at = xxhash.xxh64_intdigest(w.encode(), 0) >> (64 - line_dedup.CELLS_BITS)
+        cells[at] = cells.get(at, 0) + 1
+    got = line_dedup.rarity(df)
+    assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == {k: int(np.log2(n + 1) * 4) for k, n in cells.items()}
