@@ -141,11 +141,17 @@ def pair_match_list(mp: DataFrame, matches: DataFrame, tournaments: DataFrame, k
     first k of each pair and kind; uncut otherwise.
     """
     detail = matches.select(F.col("id").alias("match_id"), "tkey", "class", "round", "score")
-    pairs = pair_matches(mp, matches).join(detail, "match_id").withColumn("result", F.col("winner_side") == F.col("side_a"))
+    pairs = pair_matches(mp, matches)
+    result = lambda rows: rows.withColumn("result", F.col("winner_side") == F.col("side_a"))
     newest = [F.col("match_date").desc_nulls_last(), F.col("match_id").desc()]
     t = tournaments.select("tkey", F.col("name").alias("tournament"), "federation")
     if k is None:
-        return first_rows(with_teams(pairs, mp), ["a", "b", "opponents"], newest, None).join(t, "tkey")
+        # a match meets its tournament before it is repeated for its pairs; ranks count matches without one too
+        named = t.groupBy("tkey").agg(F.collect_list(F.struct("tournament", "federation")).alias("_t"))
+        of_match = pairs.join(detail.join(named, "tkey", "left"), "match_id")
+        listed = first_rows(with_teams(result(of_match), mp), ["a", "b", "opponents"], newest, None)
+        return listed.select("*", F.explode("_t").alias("_at")).select("*", "_at.*").drop("_t", "_at")
+    pairs = result(pairs.join(detail, "match_id"))
     return with_teams(first_rows(pairs, ["a", "b", "opponents"], newest, k), mp).join(t, "tkey")
 
 
