@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import WordHashes, lean, mixed, narrow, pieces, power_of_two, rolling, shared, sliding_min, to_shards
+from courtside.llm.common import lean, mixed, narrow, pieces, power_of_two, rolling, shared, slices, sliding_min, to_shards, word_spans, xxh64
 
 CELLS_BITS = 18                      # the rarity sketch has this many cells, one byte each once merged
 _BLOCK = 16
 _PACK_BYTES = 16 << 20               # texts a task holds before it packs them
+_RUN_BYTES = 1 << 20                 # texts whose words are hashed at once, or one longer text
 _BITMAP, _WIDE_BITMAP = 128, 512     # bits of a set's parity bitmap, and of a second one if it has more than _WIDE tokens
 _WIDE = 128
 _LONG_RUN = 20_000                   # lines under one token that are no longer compared by bitmaps; all of them are verified
@@ -80,16 +80,40 @@ def unpacked(t: pa.Table) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(expand(rows.as_py())).read_all() for rows in t.column("rows"))
 
 
-def lines_of(body: bytes | None) -> list[bytes]:
-    return (body or b"").decode(errors="replace").lower().encode().split(b"\n")
+def lower(body: bytes) -> bytes:
+    return body.decode(errors="replace").lower().encode()
 
 
-def tokens_of(words: list[bytes], counts: np.ndarray, memo: WordHashes, width: int, ranks: np.ndarray):
-    """(hashes, line, rank) of the shingles of some lines of `counts` words each; lines with fewer than `width` have none.
+def hashed_words(lines: list[bytes], width: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, hashes) of the words of some lines, or of texts of several lines; a count for each line.
+
+    The words of a line of fewer than `whole` are joined to one that no other line has, with empty ones to fill one shingle.
+    """
+    text = b"\n".join(lines) + b"\n"
+    at = np.frombuffer(text, np.uint8)
+    start, end = word_spans(at)
+    newline = np.flatnonzero(at == 10)
+    counts = np.diff(np.searchsorted(start, newline), prepend=0)
+    h = xxh64(text, start, end - start)
+    few = np.flatnonzero((counts > 0) & (counts < whole))
+    if len(few):
+        first = np.cumsum(counts) - counts
+        joined = [xxhash.xxh64_intdigest(b" ".join(text[x:y].split()) + b" ", 0) for x, y in zip(start[first[few]].tolist(), newline[few].tolist())]
+        single = np.zeros(len(counts), bool)
+        single[few] = True
+        kept = ~np.repeat(single, counts)
+        counts[few] = width
+        longer = ~np.repeat(single, counts)
+        words, h = h[kept], np.full(len(longer), xxhash.xxh64_intdigest(b"", 0), np.uint64)
+        h[longer], h[(np.cumsum(counts) - counts)[few]] = words, joined
+    return counts, h
+
+
+def tokens_of(h: np.ndarray, counts: np.ndarray, width: int, ranks: np.ndarray):
+    """(hashes, line, rank) of the shingles of some lines of `counts` hashed words each; lines with fewer than `width` have none.
 
     A shingle ranks as the rarest of its words.
     """
-    h = memo.of(words)
     grams, rank = rolling(h, width), sliding_min(ranks[(h >> np.uint64(64 - CELLS_BITS)).astype(np.int64)], width)
     line = np.repeat(np.arange(len(counts)), counts)[: len(grams)]
     inside = np.cumsum(counts)[line] - np.arange(len(grams)) >= width
@@ -108,13 +132,10 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
         cells = np.zeros(1 << CELLS_BITS, np.int64)
         for b in batches:
-            bodies = b.column("body").to_pylist()
-            for at in range(0, len(bodies), 4000):
-                words = Counter()
-                for x in bodies[at : at + 4000]:
-                    words.update((x or b"").lower().split())
-                h = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in words), np.uint64, len(words))
-                np.add.at(cells, (h >> shift).astype(np.int64), np.fromiter(words.values(), np.int64, len(words)))
+            for part in slices([b], _RUN_BYTES):
+                text = b"\n".join(x or b"" for x in part.column("body").to_pylist()).lower() + b"\n"
+                start, end = word_spans(np.frombuffer(text, np.uint8))
+                cells += np.bincount((xxh64(text, start, end - start) >> shift).astype(np.int64), minlength=1 << CELLS_BITS)
         at = np.flatnonzero(cells)
         cuts = np.searchsorted(at, np.arange(0, (1 << CELLS_BITS) + 1, 1 << _BLOCK))
         salt = TaskContext.get().partitionId() % 8
@@ -197,12 +218,6 @@ def likely(value: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndar
     return flag
 
 
-def words_of(line: bytes, width: int, whole: int) -> list[bytes]:
-    """The words of a line. Fewer than `whole` are joined to one that no other line has, with empty ones to fill one shingle."""
-    w = line.split()
-    return [b" ".join(w) + b" ", *[b""] * (width - 1)] if 0 < len(w) < whole else w
-
-
 def prefix_of(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
@@ -259,18 +274,15 @@ def later_lines(docs: DataFrame, dealt: DataFrame, t: float, width: int, n: int,
     schema = "batch long, " + ", ".join(f"{x} binary" for x in Sets.names)
 
     def digest(batches):
-        memo, table, part, number = WordHashes(), ranks.value, TaskContext.get().partitionId() << 32, 0
+        table, part, number = ranks.value, TaskContext.get().partitionId() << 32, 0
         for b in batches:
             ids, chunk, bodies = (b.column(c).to_pylist() for c in ("doc_id", "chunk", "body"))
             at = 0
             while at < len(ids):
                 out, size = [[] for _ in Sets.names], 0
-                doc, line, own, crc, counts, words = [], [], [], [], [], []
 
-                def close():
-                    if not doc:
-                        return
-                    h, k = ordered_sets(*tokens_of(words, np.array(counts), memo, width, table))
+                def close(doc, line, own, crc, counts, words):
+                    h, k = ordered_sets(*tokens_of(words, counts, width, table))
                     sizes = np.bincount(k, minlength=len(counts))
                     first = np.cumsum(sizes) - sizes
                     m = mixed(h * _MIX)
@@ -281,24 +293,28 @@ def later_lines(docs: DataFrame, dealt: DataFrame, t: float, width: int, n: int,
                     inside = many[k]
                     wide = bitmaps(h[inside], (np.cumsum(many) - 1)[k[inside]], int(many.sum()), _WIDE_BITMAP)
                     for o, v in zip(out, (doc, line, own, crc, sig, sizes, bits.ravel(), wide.ravel(), prefix)):
-                        o.append(np.array(v))
-                    for x in (doc, line, own, crc, counts, words):
-                        x.clear()
+                        o.append(v)
 
                 while at < len(ids) and size < batch_bytes:
-                    body = bodies[at]
-                    if body and ids[at] is not None:
-                        size += len(body)
-                        raw = body.split(b"\n")
-                        for number_, text in enumerate(lines_of(body)):
-                            w = words_of(text, width, whole)
-                            if len(w) >= width:
-                                doc.append(ids[at]), line.append(number_), own.append(chunk[at]), crc.append(zlib.crc32(raw[number_])), counts.append(len(w))
-                                words.extend(w)
-                                if len(counts) == 4000:
-                                    close()
-                    at += 1
-                close()
+                    run, held = [], 0
+                    while at < len(ids) and size < batch_bytes and held < _RUN_BYTES:
+                        if bodies[at] and ids[at] is not None:
+                            run.append(at)
+                            held += len(bodies[at])
+                            size += len(bodies[at])
+                        at += 1
+                    if not run:
+                        continue
+                    counts, words = hashed_words([lower(bodies[i]) for i in run], width, whole)
+                    raw = [bodies[i].split(b"\n") for i in run]
+                    crc = np.fromiter((zlib.crc32(x) for r in raw for x in r), np.uint32, len(counts))
+                    per_doc = np.array([len(r) for r in raw])
+                    doc, own = (np.repeat(np.array([v[i] for i in run]), per_doc) for v in (ids, chunk))
+                    lines, words = np.flatnonzero(counts >= width), words[np.repeat(counts >= width, counts)]
+                    columns = [c[lines] for c in (doc, _within(per_doc), own, crc, counts)]
+                    ends = np.r_[0, np.cumsum(columns[-1])]
+                    for x in range(0, len(lines), 4000):
+                        close(*(c[x : x + 4000] for c in columns), words[ends[x] : ends[min(len(lines), x + 4000)]])
                 if out[0]:
                     cols = [np.concatenate(o).astype(kind) for o, kind in zip(out, Sets.kinds)]
                     cols = [c.tobytes() for c in cols[:-1]] + [six(mixed(cols[-1]))]
@@ -430,7 +446,7 @@ def later_lines(docs: DataFrame, dealt: DataFrame, t: float, width: int, n: int,
         """Under each shared word, by shard: its lines with size, place, and words, rare ones first."""
         if not asked.num_rows:
             return _rows([])
-        text, memo, table, rows = unpacked(texts), WordHashes(), ranks.value, []
+        text, table, rows = unpacked(texts), ranks.value, []
         bodies: dict[int, list] = {}
         for d, body in zip(text.column("doc_id").to_pylist(), text.column("body").to_pylist()):
             bodies.setdefault(d, []).append(body)
@@ -440,15 +456,14 @@ def later_lines(docs: DataFrame, dealt: DataFrame, t: float, width: int, n: int,
             place = np.frombuffer(a[20 * m :], np.int32)
             ends = np.cumsum(counts)
             for x in range(0, m, 4000):
-                words, sizes = [], []
+                found = []
                 held: dict[int, list] = {}
                 for d, k, c in zip(doc[x : x + 4000].tolist(), line[x : x + 4000].tolist(), crc[x : x + 4000].tolist()):
                     if d not in held:
-                        held[d] = [(b.split(b"\n"), lines_of(b)) for b in bodies[d] if b]
-                    w = words_of(next(low[k] for raw, low in held[d] if k < len(raw) and zlib.crc32(raw[k]) == c), width, whole)
-                    words += w
-                    sizes.append(len(w))
-                h, of = ordered_sets(*tokens_of(words, np.array(sizes), memo, width, table))
+                        held[d] = [(b.split(b"\n"), lower(b).split(b"\n")) for b in bodies[d] if b]
+                    found.append(next(low[k] for raw, low in held[d] if k < len(raw) and zlib.crc32(raw[k]) == c))
+                sizes, words = hashed_words(found, width, whole)
+                h, of = ordered_sets(*tokens_of(words, sizes, width, table))
                 size = np.bincount(of, minlength=len(sizes))
                 begin = np.cumsum(size) - size
                 own = counts[x : x + 4000].astype(np.int64)

@@ -69,3 +69,25 @@ def test_query_and_stage(spark):
     for r in docs.collect():
         own = "\n".join(x for k, x in enumerate((r["text"] or "").split("\n")) if (r["doc_id"], k) not in want)
         assert kept.get(r["doc_id"], "") == own or not own.strip()
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Each word keeps its own hash, but only long words and short lines are hashed one by one; before, each word was."""
+    import xxhash
+
+    from courtside.llm import common
+
+    rng = random.Random(5)
+    word = lambda most: bytes(rng.choice(b"abc\x00\xc3\xa9") for _ in range(rng.randint(1, most)))
+    lines = [b" \t".join(word(31) for _ in range(rng.randint(5, 60))) for _ in range(300)]
+    lines += [b"", b" \r", b"read  more ", b"x" * 32 + b" a b c d", b" ".join(word(90) for _ in range(9))]
+    split = [x.split() for x in lines]
+    for width, whole in ((1, 5), (5, 5), (2, 0)):
+        want = [[b" ".join(w) + b" ", *[b""] * (width - 1)] if 0 < len(w) < whole else w for w in split]
+        hashes = [xxhash.xxh64_intdigest(x, 0) for w in want for x in w]
+        calls, one = [], xxhash.xxh64_intdigest
+        with monkeypatch.context() as m:
+            m.setattr(common.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or one(*a))
+            counts, h = line_dedup.hashed_words(lines, width, whole)
+        assert counts.tolist() == [len(w) for w in want] and h.tolist() == hashes
+        assert len(calls) < 20 < len(hashes) / 100
