@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import lean, mixed, narrow, pieces, power_of_two, rolling, shared, slices, sliding_min, to_shards, word_spans, xxh64
+from courtside.llm.common import lean, mixed, narrow, pieces, power_of_two, rolling, shared, shuffles_removed, slices, sliding_min, to_shards, word_spans, xxh64
 
 CELLS_BITS = 18                      # the rarity sketch has this many cells, one byte each once merged
 _BLOCK = 16
 _PACK_BYTES = 16 << 20               # texts a task holds before it packs them
-_RUN_BYTES = 1 << 20                 # texts whose words are hashed at once, or one longer text
+_RUN_BYTES = 2 << 20                 # texts whose words are hashed at once, or one longer text
 _BITMAP, _WIDE_BITMAP = 128, 512     # bits of a set's parity bitmap, and of a second one if it has more than _WIDE tokens
 _WIDE = 128
 _LONG_RUN = 20_000                   # lines under one token that are no longer compared by bitmaps; all of them are verified
+_SHORT_RUN = 32                      # in longer lists a second token decides which lines are verified
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SIX = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -438,7 +440,8 @@ def later_lines(docs: DataFrame, dealt: DataFrame, t: float, width: int, n: int,
 
     first = own.applyInArrow(lean(send_sets), _ROWS).groupBy("shard").applyInArrow(lean(first_of_all), _ROWS)
     second = own.cogroup(first.groupBy("batch")).applyInArrow(lean(send_words), _ROWS).groupBy("shard").applyInArrow(lean(shared_words), _ROWS)
-    settled = shared(own.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(lean(settle), _ROWS).selectExpr(*_AS_CHUNK), "line-words")
+    with shuffles_removed(docs.sparkSession):                      # nothing below reads the sets or the postings again
+        settled = shared(own.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(lean(settle), _ROWS).selectExpr(*_AS_CHUNK), "line-words")
 
     few = max(1, shards // 8)
 
@@ -451,55 +454,56 @@ def later_lines(docs: DataFrame, dealt: DataFrame, t: float, width: int, n: int,
         for d, body in zip(text.column("doc_id").to_pylist(), text.column("body").to_pylist()):
             bodies.setdefault(d, []).append(body)
         chunk = texts.column("chunk")[0].as_py()
-        for m, a in zip(asked.column("n").to_pylist(), asked.column("a").to_pylist()):
-            doc, line, crc, counts = (np.frombuffer(a[x * m : y * m], kind) for x, y, kind in ((0, 8, np.int64), (8, 12, np.int32), (12, 16, np.uint32), (16, 20, np.int32)))
-            place = np.frombuffer(a[20 * m :], np.int32)
-            ends = np.cumsum(counts)
-            for x in range(0, m, 4000):
-                found = []
-                held: dict[int, list] = {}
-                for d, k, c in zip(doc[x : x + 4000].tolist(), line[x : x + 4000].tolist(), crc[x : x + 4000].tolist()):
-                    if d not in held:
-                        held[d] = [(b.split(b"\n"), lower(b).split(b"\n")) for b in bodies[d] if b]
-                    found.append(next(low[k] for raw, low in held[d] if k < len(raw) and zlib.crc32(raw[k]) == c))
-                sizes, words = hashed_words(found, width, whole)
-                h, of = ordered_sets(*tokens_of(words, sizes, width, table))
-                size = np.bincount(of, minlength=len(sizes))
-                begin = np.cumsum(size) - size
-                own = counts[x : x + 4000].astype(np.int64)
-                pos = place[ends[x] - counts[x] : ends[min(m, x + 4000) - 1]].astype(np.int64)
-                who = np.repeat(np.arange(len(sizes)), own)
-                word = h[begin[who] + pos]
-                shard = (mixed(word) >> np.uint64(40)).astype(np.int64) % few
-                for s in np.unique(shard):
-                    i = np.flatnonzero(shard == s)
-                    lines, local = np.unique(who[i], return_inverse=True)
-                    flat = h[np.repeat(begin[lines], size[lines]) + _within(size[lines])]
-                    rows.append((chunk, int(s), len(i), np.array([len(lines)], np.int64).tobytes() + (word[i] << np.uint64(12) & _SIX).tobytes() + local.astype(np.int32).tobytes() + pos[i].astype(np.int32).tobytes() + doc[x + lines].tobytes() + line[x + lines].tobytes() + crc[x + lines].tobytes() + size[lines].astype(np.int32).tobytes() + six(flat << np.uint64(12))))
+        # the lines that all batches ask of this chunk go out together: a row for each batch would be as many as batches times chunks
+        sizes, parts = asked.column("n").to_pylist(), asked.column("a").to_pylist()
+        doc, line, crc, counts = (np.concatenate([np.frombuffer(a[x * m : y * m], kind) for a, m in zip(parts, sizes)]) for x, y, kind in ((0, 8, np.int64), (8, 12, np.int32), (12, 16, np.uint32), (16, 20, np.int32)))
+        place, m = np.concatenate([np.frombuffer(a[20 * m :], np.int32) for a, m in zip(parts, sizes)]), sum(sizes)
+        ends = np.cumsum(counts)
+        for x in range(0, m, 4000):
+            found = []
+            held: dict[int, list] = {}
+            for d, k, c in zip(doc[x : x + 4000].tolist(), line[x : x + 4000].tolist(), crc[x : x + 4000].tolist()):
+                if d not in held:
+                    held[d] = [(b.split(b"\n"), lower(b).split(b"\n")) for b in bodies[d] if b]
+                found.append(next(low[k] for raw, low in held[d] if k < len(raw) and zlib.crc32(raw[k]) == c))
+            sizes, words = hashed_words(found, width, whole)
+            h, of = ordered_sets(*tokens_of(words, sizes, width, table))
+            size = np.bincount(of, minlength=len(sizes))
+            begin = np.cumsum(size) - size
+            own = counts[x : x + 4000].astype(np.int64)
+            pos = place[ends[x] - counts[x] : ends[min(m, x + 4000) - 1]].astype(np.int64)
+            who = np.repeat(np.arange(len(sizes)), own)
+            word = h[begin[who] + pos]
+            shard = (mixed(word) >> np.uint64(40)).astype(np.int64) % few
+            for s in np.unique(shard):
+                i = np.flatnonzero(shard == s)
+                lines, local = np.unique(who[i], return_inverse=True)
+                flat = h[np.repeat(begin[lines], size[lines]) + _within(size[lines])]
+                rows.append((chunk, int(s), len(i), np.array([len(lines)], np.int64).tobytes() + (word[i] << np.uint64(12) & _SIX).tobytes() + local.astype(np.int32).tobytes() + pos[i].astype(np.int32).tobytes() + doc[x + lines].tobytes() + line[x + lines].tobytes() + crc[x + lines].tobytes() + size[lines].astype(np.int32).tobytes() + six(flat << np.uint64(12))))
         return _rows(rows)
 
     def verify(tab: pa.Table) -> pa.Table:
-        word, who, pos, doc, line, crc, chunk, sets_ = [], [], [], [], [], [], [], []
+        word, who, pos, doc, line, crc, chunk, size, flat, held = [], [], [], [], [], [], [], [], [], 0
         for c, n_, a in zip(tab.column("batch").to_pylist(), tab.column("n").to_pylist(), tab.column("a").to_pylist()):
             m = int(np.frombuffer(a[:8], np.int64)[0])
             cut = np.cumsum([8, 8 * n_, 4 * n_, 4 * n_, 8 * m, 4 * m, 4 * m, 4 * m])
             part = [a[p:q] for p, q in zip(cut, cut[1:])]
-            word.append(np.frombuffer(part[0], np.uint64)), who.append(np.frombuffer(part[1], np.int32) + len(sets_)), pos.append(np.frombuffer(part[2], np.int32))
+            word.append(np.frombuffer(part[0], np.uint64)), who.append(np.frombuffer(part[1], np.int32) + held), pos.append(np.frombuffer(part[2], np.int32))
             doc.append(np.frombuffer(part[3], np.int64)), line.append(np.frombuffer(part[4], np.int32)), crc.append(np.frombuffer(part[5], np.uint32)), chunk.append(np.full(m, c))
-            flat, ends = from_six(a[cut[-1] :]), np.cumsum(np.frombuffer(part[6], np.int32))
-            sets_ += np.split(flat, ends[:-1])
-        word, who, pos, doc, line, crc, chunk = map(np.concatenate, (word, who, pos, doc, line, crc, chunk))
-        gone = np.zeros(len(sets_), bool)
+            size.append(np.frombuffer(part[6], np.int32).astype(np.int64)), flat.append(from_six(a[cut[-1] :]))
+            held += m
+        word, who, pos, doc, line, crc, chunk, size, flat = map(np.concatenate, (word, who, pos, doc, line, crc, chunk, size, flat))
+        first = np.cumsum(size) - size
+        gone = np.zeros(len(size), bool)
         order = np.lexsort((line[who], doc[who], word))
         w = word[order]
         starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
         length = np.diff(np.r_[starts, len(w)])
-        two = starts[length == 2]
-        match_twos(who[order[two]], who[order[two + 1]], pos[order[two]], pos[order[two + 1]], sets_, gone, t)
-        for x, n in zip(starts[length > 2].tolist(), length[length > 2].tolist()):
+        match_short_runs(who[order], pos[order].astype(np.int64), length, flat, first, size, gone, t)
+        for x, n in zip(starts[length > _SHORT_RUN].tolist(), length[length > _SHORT_RUN].tolist()):
             run = order[x : x + n]
             if not gone[who[run[1:]]].all():
-                match_run(int(word[run[0]]), who[run].tolist(), pos[run].tolist(), sets_, gone, t)
+                match_run(int(word[run[0]]), who[run].tolist(), pos[run].tolist(), lambda i: flat[first[i] : first[i] + size[i]], gone, t)
         rows = []
         for c in np.unique(chunk[gone]):
             i = np.flatnonzero(gone & (chunk == c))
@@ -511,25 +515,40 @@ def later_lines(docs: DataFrame, dealt: DataFrame, t: float, width: int, n: int,
     return settled.where("shard = 0").unionByName(near.selectExpr(*_AS_CHUNK))
 
 
-def match_twos(x: np.ndarray, y: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, sets_: list[np.ndarray], gone: np.ndarray, t: float) -> None:
-    """Marks y[k] where it is like the earlier x[k], the only other line with some token, at these places.
+def shared_tokens(x: np.ndarray, y: np.ndarray, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many tokens set x[k] shares with set y[k], for at most 2^16 pairs of sets of 48-bit tokens (the upper bits of `flat`)."""
+    pair, both = np.tile(np.arange(len(x), dtype=np.uint64), 2), np.r_[x, y]
+    key = np.sort(flat[np.repeat(first[both], size[both]) + _within(size[both])] | np.repeat(pair, size[both]))
+    return np.bincount((key[1:][key[1:] == key[:-1]] & ~_SIX).astype(np.int64), minlength=len(x))
 
-    Two lines that share several such tokens are verified once.
+
+def match_short_runs(who: np.ndarray, pos: np.ndarray, length: np.ndarray, flat: np.ndarray, first: np.ndarray, size: np.ndarray, gone: np.ndarray, t: float) -> None:
+    """Marks each line that is like an earlier one, in lists of at most _SHORT_RUN lines that share a token.
+
+    `who` has the lines of lists of these lengths, in order of (doc, line), `pos` the places of the token. Each line meets its
+    neighbour, then the line before that, and so on until it is marked; two lines that share several tokens are verified once.
     """
-    size = np.fromiter(map(len, sets_), np.int64, len(sets_))
-    n, m = size[x], size[y]
-    need = np.ceil(t / (1 + t) * (n + m) - 1e-9)
-    near = (np.minimum(n, m) >= t * np.maximum(n, m) - 1e-9) & (np.minimum(n - at_x, m - at_y) + np.minimum(at_x, at_y) >= need)
-    pairs = np.unique(x[near].astype(np.int64) * len(sets_) + y[near])
-    held, own = -1, set()
-    for i, j in zip((pairs // len(sets_)).tolist(), (pairs % len(sets_)).tolist()):
-        if not gone[j]:
-            if i != held:
-                held, own = i, set(sets_[i].tolist())
-            gone[j] = len(own.intersection(sets_[j].tolist())) >= needed(len(sets_[i]), len(sets_[j]), t)
-
-
-def match_run(word: int, who: list[int], pos: list[int], sets_: list[np.ndarray], gone: np.ndarray, t: float) -> None:
+    n = len(size)
+    end, tried, d = np.repeat(np.cumsum(length), length), np.zeros(0, np.int64), 0
+    i = np.flatnonzero(np.repeat(length <= _SHORT_RUN, length))
+    while len(i):
+        d += 1
+        i = i[i + d < end[i]]
+        own = i[~gone[who[i + d]]]
+        x, y, p, q = who[own], who[own + d], pos[own], pos[own + d]
+        a, b = size[x], size[y]
+        near = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - p, b - q) + np.minimum(p, q) >= np.ceil(t / (1 + t) * (a + b) - 1e-9))
+        pairs = np.setdiff1d(y[near] * n + x[near], tried)
+        tried = np.union1d(tried, pairs)
+        x, y = pairs % n, pairs // n
+        block = np.cumsum(np.maximum(size[x] + size[y], 16)) >> 20
+        for lo, hi in zip(starts := np.searchsorted(block, np.unique(block)), [*starts[1:], len(block)]):
+            live = lo + np.flatnonzero(~gone[y[lo:hi]])
+            a, b = x[live], y[live]
+            gone[b[shared_tokens(a, b, flat, first, size) >= np.ceil(t / (1 + t) * (size[a] + size[b]) - 1e-9)]] = True
+
+
+def match_run(word: int, who: list[int], pos: list[int], tokens: Callable[[int], np.ndarray], gone: np.ndarray, t: float) -> None:
     """Marks each line with an earlier one of likeness t in a list of lines that share `word`, in order of (doc, line)."""
     index: dict[int, list[int]] = {}
     listed: dict[int, list[int]] = {}
@@ -537,12 +556,12 @@ def match_run(word: int, who: list[int], pos: list[int], sets_: list[np.ndarray]
 
     def words(i: int) -> frozenset:
         if i not in full:
-            full[i] = frozenset(sets_[i].tolist())
+            full[i] = frozenset(tokens(i).tolist())
         return full[i]
 
     for k, (y, p) in enumerate(zip(who, pos)):
-        n = len(sets_[y])
-        ahead = sets_[y][: n - math.ceil(t * n - 1e-9) + 2].tolist()       # likes share two words of these
+        n = len(tokens(y))
+        ahead = tokens(y)[: n - math.ceil(t * n - 1e-9) + 2].tolist()       # likes share two words of these
         listed[k] = ahead
         if not gone[y]:
             tried, done = set(), False
@@ -552,7 +571,7 @@ def match_run(word: int, who: list[int], pos: list[int], sets_: list[np.ndarray]
                         continue
                     tried.add(j)
                     x = who[j]
-                    m = len(sets_[x])
+                    m = len(tokens(x))
                     if min(n, m) < t * max(n, m) - 1e-9:
                         continue
                     need = needed(n, m, t)

@@ -50,6 +50,21 @@ def test_variants_of_lines(spark):
     assert gone(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=3000) == want
 
 
+def test_long_lists_of_variants(spark):
+    """Lists of more lines than are met in turn, and of fewer, under the same words; no settings of the session stay changed."""
+    rng, docs = random.Random(6), []
+    base = [[f"w{b}_{k}" for k in range(40)] for b in range(4)]
+    for d in range(220):
+        x = list(base[0] if d % 3 else rng.choice(base[1:]))
+        for _ in range(rng.randint(1, 7)):
+            x[rng.randrange(len(x))] = f"v{rng.randrange(300)}"
+        docs.append((d, " ".join(x)))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, want = spark.conf.get(key), brute(docs)
+    assert gone(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=3000) == want
+    assert line_dedup._SHORT_RUN < len(want) < len(docs) and spark.conf.get(key) == before
+
+
 def test_one_changed_word(spark):
     x = "the shop in the old town opens at nine on monday and closes late"
     df = spark.createDataFrame([(1, x), (2, x.replace("monday", "friday"))], "doc_id long, text string")
