@@ -3,7 +3,8 @@
 Texts are dealt once into chunks. Each chunk makes a partial sketch of the windows' least grams; parts of all sketches are
 merged by cell range, and each chunk hears which of its cells count two or more. A window's grams occur at least as often
 as the window, so the sketch never counts too few and no repeated window is lost. The second pass sends only windows that
-are estimated repeated, once per chunk, to exact grouping; the third marks the words. Cells and shards grow with the input.
+are estimated repeated, once per chunk, to exact grouping; the third marks the words. Cells and shards grow with the input;
+a shard serves several chunks, as each chunk sends a row to each shard.
 """
 
 from __future__ import annotations
@@ -13,20 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import WordHashes, chunks, least_gram, mixed, of_chunk, power_of_two, rolling, to_shards
+from courtside.llm.common import chunks, least_gram, mixed, of_chunk, power_of_two, rolling, to_shards, word_spans, xxh64
 
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 _LAST = np.iinfo(np.int64).max
+#: How many chunks' cells, or windows, a shard takes.
+_CELLS_OF, _WINDOWS_OF = 8, 2
 
 
 class Windows:
     """Hashes of all windows of a chunk's documents, in order of (doc_id, start), and the gram that stands for each."""
 
     def __init__(self, bodies: list[bytes], width: int, gram: int):
-        memo = WordHashes()
-        self.words = [b.split() for b in bodies]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        h = np.concatenate([memo.of(w) for w in self.words]) if bodies else np.zeros(0, np.uint64)
+        text = b" ".join(bodies) + b" "
+        start, end = word_spans(np.frombuffer(text, np.uint8))
+        ends = np.cumsum([len(b) + 1 for b in bodies], dtype=np.int64)
+        self.sizes = np.diff(np.searchsorted(start, ends), prepend=0)
+        h = xxh64(text, start, end - start)
         self.first = np.r_[0, np.cumsum(self.sizes)]
         grams = rolling(h, gram)
         least = least_gram(grams, width - gram + 1)
@@ -39,11 +43,15 @@ class Windows:
 
     def repeated(self, seen: list[np.ndarray], bits: int) -> np.ndarray:
         """Window starts whose gram counts two or more in every row of the sketch."""
-        anchors, inverse = np.unique(self.anchor, return_inverse=True)
-        ok = np.ones(len(anchors), bool)
+        new = self.fresh()
+        ok = np.ones(int(new.sum()), bool)
         for r, cells in enumerate(seen):
-            ok &= np.isin(cell_of(self.grams[anchors], r, bits), cells)
-        return self.start[ok[inverse]] if len(anchors) else self.start
+            ok &= np.isin(cell_of(self.grams[self.anchor[new]], r, bits), cells)
+        return self.start[ok[np.cumsum(new) - 1]] if len(ok) else self.start
+
+    def fresh(self) -> np.ndarray:
+        """Which windows have another gram than the window before: places of least grams never go back."""
+        return np.diff(self.anchor, prepend=-1) > 0
 
 
 def cell_of(grams: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -61,6 +69,15 @@ def wide(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, {0: np.uint16, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(b) // n if n else 0]).astype(np.uint64)
 
 
+def repeated_cells(cells: list[np.ndarray], twice: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each chunk's distinct cells those that count two or more: held by two chunks, or `twice` by one. All are sorted once."""
+    value, inverse, count = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    many = count > 1
+    many[inverse[np.concatenate(twice)]] = True
+    keep = many[inverse]
+    return [c[k] for c, k in zip(cells, np.split(keep, np.cumsum([len(c) for c in cells])[:-1]))]
+
+
 def first_in_chunk(w: Windows, ids: list, starts: np.ndarray):
     """Of each distinct window the first in the chunk, ordered by key: starts; and the other starts, which all come later."""
     key, check = w.key[starts], w.check[starts] >> np.uint64(32)
@@ -88,20 +105,20 @@ def remove_repeated(docs: DataFrame, width: int = 20, gram: int = 10, depth: int
     last. Rows that repeat an id and a text are neither earlier than the other.
     """
     dealt, n, total = chunks(docs, chunk_bytes)
-    shards = power_of_two(n)
-    bits = max(shards.bit_length() + 8, min(shards.bit_length() + 30, (total * 2 // 3).bit_length()))
-    low = bits - (shards.bit_length() - 1)
+    ranges, shards = power_of_two(-(-n // _CELLS_OF)), power_of_two(-(-n // _WINDOWS_OF))
+    bits = max(ranges.bit_length() + 8, min(ranges.bit_length() + 30, (total * 2 // 3).bit_length()))
+    low = bits - (ranges.bit_length() - 1)
 
     def sketch(t: pa.Table) -> pa.Table:
         w = Windows(of_chunk(t)[1], width, gram)
-        grams, out = w.grams[np.unique(w.anchor)], []
+        grams, out = w.grams[w.anchor[w.fresh()]], []
         for r in range(depth):
             cells, count = np.unique(cell_of(grams, r, bits), return_counts=True)
-            cuts = to_shards(cells << np.uint64(64 - bits), shards)
+            cuts = to_shards(cells << np.uint64(64 - bits), ranges)
             for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     part = cells[a:b] & np.uint64((1 << low) - 1)
-                    out.append((r * shards + s, int(b - a), small(np.diff(part, prepend=np.uint64(0))), np.packbits(count[a:b] > 1).tobytes()))
+                    out.append((r * ranges + s, int(b - a), small(np.diff(part, prepend=np.uint64(0))), np.packbits(count[a:b] > 1).tobytes()))
         return table(out, t, "shard n a b")
 
     def table(out: list, t: pa.Table, names: str) -> pa.Table:
@@ -114,12 +131,8 @@ def remove_repeated(docs: DataFrame, width: int = 20, gram: int = 10, depth: int
         n = t.column("n").to_pylist()
         cells = [np.cumsum(wide(a, k), dtype=np.uint64) for a, k in zip(t.column("a").to_pylist(), n)]
         twice = [np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool) for b, k in zip(t.column("b").to_pylist(), n)]
-        flat = np.concatenate(cells + [c[x] for c, x in zip(cells, twice)])
-        value, count = np.unique(flat, return_counts=True)
-        value = value[count > 1]
         rows = []
-        for chunk, shard, c in zip(t.column("chunk").to_pylist(), t.column("shard").to_pylist(), cells):
-            c = c[np.isin(c, value)]
+        for chunk, shard, c in zip(t.column("chunk").to_pylist(), t.column("shard").to_pylist(), repeated_cells(cells, twice)):
             if len(c):
                 rows.append((chunk, shard, len(c), small(np.diff(c, prepend=np.uint64(0))), b""))
         return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["chunk", "shard", "n", "a", "b"])
@@ -128,7 +141,7 @@ def remove_repeated(docs: DataFrame, width: int = 20, gram: int = 10, depth: int
         seen = [[np.zeros(0, np.uint64)] for _ in range(depth)]
         for shard, n, a in zip(*(replies.column(c).to_pylist() for c in ("shard", "n", "a"))):
             if shard >= 0:
-                seen[shard // shards].append(np.cumsum(wide(a, n), dtype=np.uint64) + (np.uint64(shard % shards) << np.uint64(low)))
+                seen[shard // ranges].append(np.cumsum(wide(a, n), dtype=np.uint64) + (np.uint64(shard % ranges) << np.uint64(low)))
         return [np.concatenate(s) for s in seen]
 
     def candidates(t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -176,14 +189,13 @@ def remove_repeated(docs: DataFrame, width: int = 20, gram: int = 10, depth: int
                 a = cuts[-1 - shard]
                 gone[a : a + n] = np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
         starts = starts[later | gone[run]] if len(run) else starts
-        edge = np.zeros(int(w.first[-1]) + 1, np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + width, -1)
+        edge = np.bincount(starts, minlength=int(w.first[-1]) + 1) - np.bincount(starts + width, minlength=int(w.first[-1]) + 1)
         cover = np.cumsum(edge[:-1]) > 0
+        covered = np.r_[0, np.cumsum(cover)]
         spans, kept = [], []
-        for words, at in zip(w.words, w.first):
-            own = cover[at : at + len(words)]
-            if not own.any():
+        for body, at, n, some in zip(bodies, w.first, w.sizes, covered[w.first[1:]] > covered[w.first[:-1]]):
+            words, own = body.split(), cover[at : at + n]
+            if not some:
                 spans.append([]), kept.append(b" ".join(words))
                 continue
             change = np.flatnonzero(np.diff(np.r_[False, own, False])).reshape(-1, 2)
