@@ -1,5 +1,7 @@
 """Heavy surnames, teams and tournaments in follow matching; lists and digests of subscribers."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from courtside.operators import alerts as al
@@ -89,3 +91,28 @@ def test_hits_of_many_follows_are_made_once(spark, monkeypatch):
         mine = sorted((status[k] != "live", i, k) for e, i, k in want if e == "e2" for _ in range(1 + (k == "m7")))
         assert [r["id"] for r in got] == [k for _, _, k in mine[:4]]
     assert once[0].startswith("Union")                                # nothing above the joins makes the hits distinct
+
+
+def few_follows():
+    """A match told twice with two statuses, one without a place, one without an id; endpoints of one, two, many and no names, one without an id."""
+    m = [match(i, [f"Ana Star{i % 4}", f"Eva Moon{i % 3}"], ["live", "upcoming", "final"][i % 5 % 3], ["big", "small"][i % 6 == 0]) for i in range(40)]
+    m += [m[7], ("m8", 8, "live", *m[8][3:]), ("m9", 99, *m[9][2:]), ("m50", None, "live", *m[1][3:]), (None, 3, "live", *m[1][3:]), ("m51", 51, None, *m[1][3:])]
+    names = {"e1": ["A Star"], "e2": ["B Star1"], None: ["C Star1"], "e3": ["D Moon2", "E Star"], "e4": ["X none"], "e5": [], "e6": ["A Star1", "B Moon", "C Star2", "D Star3"], "e7": ["B Star1"]}
+    tours = {"e1": [], "e2": ["fip:small"], None: ["fip:small"], "e3": ["fip:big"], "e4": ["fip:small"], "e5": ["fip:big"], "e6": ["fip:small", "fip:big"], "e7": []}
+    follows = [(e, "player", n, n) for e in names for n in names[e]] + [(e, "tournament", t, "T") for e in tours for t in tours[e]]
+    groups, want = {(o, k): (t[0], [n.lower() for n, in teams]) for k, o, s, *_, t, teams in m if k and s in ("live", "upcoming")}, set()
+    for e in names:
+        mine = [(o, k) for (o, k), (t, teams) in groups.items() if f"fip:{t}" in tours[e] or any(n.lower().split()[-1] in x for n in names[e] for x in teams)]
+        rows = sorted((s != "live", -1 if o is None else o, k, s) for o, k in mine for k2, _, s, *_ in m if k2 == k and s in ("live", "upcoming"))
+        want |= {(e, n + 1, k, s) for n, (*_, k, s) in enumerate(rows)}
+    return m, follows, want
+
+
+def test_matches_are_stored_with_their_surnames(spark):
+    """Line-ups are searched and forgotten; only matches with the surnames in them stay on disk and are joined."""
+    m, follows, _ = few_follows()
+    f = al._Follows(spark.createDataFrame(m, FEED), spark.createDataFrame(follows, "endpoint string, kind string, key string, name string"), 3)
+    assert f.matches.columns == ["ordinal", "id", "keys", "needles"]
+    assert "lineup" not in f.hits()._jdf.queryExecution().optimizedPlan().toString()
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not glob.glob(f"{folder}/told-once-*") and glob.glob(f"{folder}/followed-*")
