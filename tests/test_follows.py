@@ -108,6 +108,29 @@ def few_follows():
     return m, follows, want
 
 
+def test_lists_are_whole_however_they_are_put_in_order(spark, monkeypatch):
+    m, follows, want = few_follows()
+    frames = spark.createDataFrame(m, FEED), spark.createDataFrame(follows, "endpoint string, kind string, key string, name string")
+    make, rank = al._Follows.__init__, al._Follows.ranked
+    for most, extra in ((200, 32), (200, 3), (4, 0)):
+        monkeypatch.setattr(al._Follows, "__init__", lambda s, a, b, c, most=most: make(s, a, b, c, most))
+        monkeypatch.setattr(al._Follows, "ranked", lambda s, order, extra=extra: rank(s, order, extra))
+        rows = [tuple(r) for r in al.followed_open(*frames).collect()]
+        # endpoints of many follows are joined by place and id: there a match without a place is none
+        gone = {k for k in want if most == 4 and k[0] == "e6"}
+        assert len(rows) == len(set(rows)) and set(rows) - {r for r in rows if most == 4 and r[0] == "e6"} == want - gone
+
+
+def test_a_surname_is_put_in_order_once_for_all_who_follow_it(spark):
+    """Sorted by endpoint, the hits of all followers went through one shuffle."""
+    m, follows, _ = few_follows()
+    frames = spark.createDataFrame(m, FEED), spark.createDataFrame([f for f in follows if f[0] in ("e1", "e7")], "endpoint string, kind string, key string, name string")
+    df = al.followed_open(*frames)
+    assert df.count() > 0
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(needle" in text and "windowspecdefinition(endpoint" not in text
+
+
 def test_matches_are_stored_with_their_surnames(spark):
     """Line-ups are searched and forgotten; only matches with the surnames in them stay on disk and are joined."""
     m, follows, _ = few_follows()
